@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, quality
+from . import exact_dedup, mixing, packing, quality, tokens, warc
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
+    "op2_warc": warc.op2_warc,
     "op4_quality": quality.op4_quality,
+    "op5_token_counts": tokens.op5_token_counts,
     "op6_mixing": mixing.op6_mixing,
+    "op10_packing": packing.op10_packing,
 }
 ORACLES = {
     "op1_exact_dedup": exact_dedup.ORACLE,
