@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, packing, quality, tokens, warc
+from . import exact_dedup, language, mixing, packing, quality, tokens, warc
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_quality": quality.op4_quality,
     "op5_token_counts": tokens.op5_token_counts,
     "op6_mixing": mixing.op6_mixing,
+    "op9_language": language.op9_language,
     "op10_packing": packing.op10_packing,
 }
 ORACLES = {
