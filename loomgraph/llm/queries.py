@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, language, mixing, packing, quality, tokens, warc
+from . import exact_dedup, language, mixing, packing, quality, tokens, toxicity, warc
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
     "op2_warc": warc.op2_warc,
+    "op3_toxicity": toxicity.op3_toxicity,
     "op4_quality": quality.op4_quality,
     "op5_token_counts": tokens.op5_token_counts,
     "op6_mixing": mixing.op6_mixing,
