@@ -31,31 +31,41 @@ from .common import ascii_lower, documents, frozen
 KEYS = ["sha", "n_bytes", "check"]
 
 
-def merge_runs(level: DataFrame, keys: list[str], n_runs: int, fan_in: int = 16) -> DataFrame:
+def merge_runs(level: DataFrame, keys: list[str], n_runs: int, best=F.max, fan_in: int = 16) -> DataFrame:
     """Merges sorted runs (run, *keys, top, n) round by round down to one."""
     bits = max(1, int(math.log2(fan_in)))
     while n_runs > 1:
         level = (
             level.withColumn("run", F.shiftright("run", bits))
             .groupBy("run", *keys)
-            .agg(F.max("top").alias("top"), F.sum("n").alias("n"))
+            .agg(best("top").alias("top"), F.sum("n").alias("n"))
         )
         n_runs = -(-n_runs // (1 << bits))
     return level
 
 
+def climb(rows: DataFrame, keys: list[str], smallest: bool = False, fan_in: int = 16) -> tuple[DataFrame, DataFrame]:
+    """rows (rid, id, *keys): the entries (run, *keys) of the first level, and of the last (*keys, top, n).
+    top is the row with the largest (or smallest) id; a null id never beats another. rid must be unique and
+    frozen; its upper bits are the partition that the row came from."""
+    best = F.min if smallest else F.max
+    rank = F.struct(F.col("id").isNull().alias("none"), "id", "rid") if smallest else F.struct("id", "rid")
+    n_runs = (rows.agg(F.max(F.shiftright("rid", 33))).first()[0] or 0) + 1
+    first = rows.groupBy(F.shiftright("rid", 33).alias("run"), *keys).agg(best(rank).alias("top"), F.count(F.lit(1)).alias("n"))
+    return first.select("run", *keys), merge_runs(first, keys, n_runs, best, fan_in).drop("run")
+
+
+def descend(rows: DataFrame, first: DataFrame, best: DataFrame, keys: list[str]) -> DataFrame:
+    """rows with the columns of best (one row of each *keys): by way of each run's entries, so a key that many rows share is one row a run."""
+    down = first.join(best, keys)
+    return rows.withColumn("run", F.shiftright("rid", 33)).join(down, ["run", *keys]).drop("run")
+
+
 def elect(rows: DataFrame, keys: list[str], fan_in: int = 16) -> DataFrame:
-    """rows (rid, id, *keys) plus top_id, top_rid (the row with the largest id of
-    equal keys) and group_size. rid must be unique and frozen; its upper bits
-    are the partition that the row came from."""
-    rows = rows.withColumn("run", F.shiftright("rid", 33))
-    n_runs = (rows.agg(F.max("run")).first()[0] or 0) + 1
-    first = rows.groupBy("run", *keys).agg(F.max(F.struct("id", "rid")).alias("top"), F.count(F.lit(1)).alias("n"))
-    best = merge_runs(first, keys, n_runs, fan_in).select(*keys, "top", F.col("n").alias("group_size"))
-    down = first.select("run", *keys).join(best, keys)
-    return rows.join(down, ["run", *keys]).select(
-        "rid", "id", *keys, F.col("top.id").alias("top_id"), F.col("top.rid").alias("top_rid"), "group_size"
-    )
+    """rows (rid, id, *keys) plus top_id, top_rid (the row with the largest id of equal keys) and group_size."""
+    first, best = climb(rows, keys, fan_in=fan_in)
+    best = best.select(*keys, F.col("top.id").alias("top_id"), F.col("top.rid").alias("top_rid"), F.col("n").alias("group_size"))
+    return descend(rows, first, best, keys)
 
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
