@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, language, mixing, near_dedup, packing, quality, tokens, toxicity, warc
+from . import exact_dedup, language, mixing, near_dedup, packing, passages, quality, tokens, toxicity, warc
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_quality": quality.op4_quality,
     "op5_token_counts": tokens.op5_token_counts,
     "op6_mixing": mixing.op6_mixing,
+    "op7_passages": passages.op7_passages,
     "op8_near_dedup": near_dedup.op8_near_dedup,
     "op9_language": language.op9_language,
     "op10_packing": packing.op10_packing,
