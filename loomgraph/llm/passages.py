@@ -52,7 +52,7 @@ from .tables import ranges
 
 SPAN, GRAM = 50, 20
 WIDE = SPAN - GRAM + 1  # windows that one anchor can serve
-BATCH, CHUNK, BUCKET = 6 << 20, 1 << 19, 400_000
+BATCH, CHUNK, BUCKET = 3 << 20, 1 << 19, 400_000
 MAX_BUCKETS = 4096  # more would leave a batch's arrays with fewer than some hundred entries a bucket
 _LAST = np.iinfo(np.int64).max
 _C = (np.random.default_rng(50).integers(1, 2**63, 12, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
@@ -200,19 +200,31 @@ def scan(arrays: list[tuple[np.ndarray, np.ndarray]]) -> list[np.ndarray]:
     return out
 
 
-def compare(anchor: np.ndarray, least: np.ndarray, count: np.ndarray, text: np.ndarray) -> np.ndarray:
-    """For each segment a mask of its windows that occur in a document with a smaller identifier."""
+def compare(anchor: np.ndarray, least: np.ndarray, count: np.ndarray, text: np.ndarray, part: int = 16_384) -> np.ndarray:
+    """For each segment a mask of its windows that occur in a document with a smaller identifier.
+    Goes through the anchors some at a time, so memory follows part and not the bucket."""
+    out = np.zeros(len(anchor), np.uint32)
+    order = np.argsort(anchor, kind="stable")
+    ends = np.flatnonzero(np.concatenate([anchor[order][1:] != anchor[order][:-1], [True]])) + 1 if len(order) else order
+    lo = 0
+    while lo < len(order):
+        hi = int(ends[min(np.searchsorted(ends, lo + part), len(ends) - 1)])
+        at = order[lo:hi]
+        out[at] = _compare(anchor[at], least[at], count[at], text[at])
+        lo = hi
+    return out
+
+
+def _compare(anchor: np.ndarray, least: np.ndarray, count: np.ndarray, text: np.ndarray) -> np.ndarray:
     out = np.zeros(len(anchor), np.uint32)
-    if not len(anchor):
-        return out
     width = text.shape[1]
     w = words_of(np.concatenate([text.ravel(), np.zeros(64, np.uint8)]))
     step = ranges(np.zeros(len(count), np.int64), count)
     row = np.repeat(np.arange(len(count)), count)
-    print_ = fingerprint(w, row * width + step)
-    mixed = _mix(anchor[row] * _C[3] ^ print_)
+    found = fingerprint(w, row * width + step)
+    mixed = _mix(anchor[row] * _C[3] ^ found)
     order = np.argsort(mixed)
-    m, a, f = mixed[order], anchor[row][order], print_[order]
+    m, a, f = mixed[order], anchor[row][order], found[order]
     first = np.flatnonzero(np.concatenate([[True], (m[1:] != m[:-1]) | (a[1:] != a[:-1]) | (f[1:] != f[:-1])]))
     low = np.repeat(np.minimum.reduceat(least[row][order], first), np.diff([*first, len(m)]))
     hit = order[low < least[row][order]]
@@ -225,9 +237,10 @@ def removed(array: Array, status: np.ndarray, masks: np.ndarray) -> np.ndarray:
     s = array.segments
     mask = np.zeros(len(array.key), np.uint32)
     mask[status == 2] = masks
-    later = (s_of := array.of) > array.least[array.entry]
+    later = array.of > array.least[array.entry]
     full = later | (status[array.entry] == 1)
-    repeated = np.zeros(len(s.stream) - 64 + 1, bool)
+    total = len(s.stream) - 64
+    repeated = np.zeros(total, bool)
     repeated[ranges(s.start[full], s.count[full])] = True
     some = np.flatnonzero(~full & (mask[array.entry] != 0))
     if len(some):
@@ -235,10 +248,10 @@ def removed(array: Array, status: np.ndarray, masks: np.ndarray) -> np.ndarray:
         row = np.repeat(some, s.count[some])
         hit = (mask[array.entry[row]] >> step.astype(np.uint32)) & np.uint32(1) == 1
         repeated[(s.start[row] + step)[hit]] = True
-    del s_of
-    upto = np.concatenate([[0], np.cumsum(repeated[:-1])])
-    place = np.arange(1, len(upto))
-    return upto[place] > upto[np.maximum(place - SPAN, 0)]
+    upto = np.cumsum(repeated, dtype=np.int32)
+    gone = upto > 0
+    gone[SPAN:] = upto[SPAN:] > upto[:-SPAN]
+    return gone
 
 
 def _pack(ids: list[int], texts: list[bytes]) -> tuple[bytes, bytes, bytes]:
@@ -282,7 +295,7 @@ def batches_of(docs: DataFrame, id_col: str, text_col: str, size: int) -> tuple[
     name = f"loomgraph_batches_{uuid.uuid4().hex}"
     made = rows.mapInArrow(make, "batch long, ids binary, sizes binary, data binary, n_bytes long")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    made.write.bucketBy(parts, "batch").option("path", scratch_path(spark, "batches")).option("compression", "uncompressed").saveAsTable(name)
+    made.write.bucketBy(parts, "batch").option("path", scratch_path(spark, "batches")).option("compression", "uncompressed").option("parquet.block.size", 16 << 20).saveAsTable(name)
     atexit.register(_drop, spark, name)
     table = spark.table(name)
     return table, table.agg(F.sum("n_bytes")).first()[0] or 0
@@ -295,11 +308,18 @@ def _drop(spark: SparkSession, name: str) -> None:
         pass
 
 
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
+    """One row at a time: rows hold megabytes, so a batch is not turned into Python objects at once."""
+    for b in batches:
+        for k in range(b.num_rows):
+            yield [c[k].as_py() for c in b.columns]
+
+
 def _groups(batches: Iterator[pa.RecordBatch], columns: int) -> Iterator[list[list]]:
     """Rows of sorted batches with the same first column, as lists of columns."""
     key, rows = None, []
     for b in batches:
-        for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+        for row in _rows([b]):
             if row[0] != key and rows:
                 yield [list(c) for c in zip(*rows, strict=True)]
                 rows = []
@@ -327,12 +347,11 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     bits = min(max(2, (total // 16 // bucket).bit_length()), MAX_BUCKETS.bit_length() - 1)
 
     def arrays(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in rows:
-            for name, ids, sizes, data in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
-                a = Array(*_unpack(ids, sizes, data), bits)
-                out = [(k, a.key[s].tobytes(), a.least[s].astype("<i8").tobytes()) for k, s in a.by_bucket()]
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([name] * len(out), pa.int64()), *(pa.array([x[k] for x in out], pa.binary()) for k in (1, 2))], ["bucket", "batch", "key", "least"])
+        for name, ids, sizes, data in _rows(rows):
+            a = Array(*_unpack(ids, sizes, data), bits)
+            out = [(k, a.key[s].tobytes(), a.least[s].astype("<i8").tobytes()) for k, s in a.by_bucket()]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([name] * len(out), pa.int64()), *(pa.array([x[k] for x in out], pa.binary()) for k in (1, 2))], ["bucket", "batch", "key", "least"])
 
     def scanned(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for k, names, keys, leasts in _groups(rows, 4):
@@ -347,20 +366,19 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     status = frozen(_by_batch(sent.mapInArrow(scanned, "bucket long, batch long, found binary")), "status")
 
     def contexts(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in rows:
-            for name, ids, sizes, data, found in zip(*(b.column(k).to_pylist() for k in range(5)), strict=True):
-                a = Array(*_unpack(ids, sizes, data), bits)
-                s, out = a.segments, []
-                for (k, part), st in zip(a.by_bucket(), _status(a, found, np.uint8), strict=True):
-                    at = np.flatnonzero(st == 2)
-                    if len(at):
-                        seg = a.sample[part][at]
-                        pos = s.start[seg][:, None] + np.arange(SPAN + WIDE - 1)
-                        whole = s.stream[np.minimum(pos, len(s.stream) - 1)]
-                        whole[np.arange(SPAN + WIDE - 1) >= (s.count[seg] + SPAN - 1)[:, None]] = 0
-                        out.append((k, anchor_of(a.key[part][at]).astype("<u4").tobytes(), a.least[part][at].astype("<i8").tobytes(), s.count[seg].astype(np.uint8).tobytes(), whole.tobytes()))
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([name] * len(out), pa.int64()), *(pa.array([x[k] for x in out], pa.binary()) for k in range(1, 5))], ["bucket", "batch", "anchor", "least", "count", "text"])
+        for name, ids, sizes, data, found in _rows(rows):
+            a = Array(*_unpack(ids, sizes, data), bits)
+            s, out = a.segments, []
+            for (k, part), st in zip(a.by_bucket(), _status(a, found, np.uint8), strict=True):
+                at = np.flatnonzero(st == 2)
+                if len(at):
+                    seg = a.sample[part][at]
+                    pos = s.start[seg][:, None] + np.arange(SPAN + WIDE - 1)
+                    whole = s.stream[np.minimum(pos, len(s.stream) - 1)]
+                    whole[np.arange(SPAN + WIDE - 1) >= (s.count[seg] + SPAN - 1)[:, None]] = 0
+                    out.append((k, anchor_of(a.key[part][at]).astype("<u4").tobytes(), a.least[part][at].astype("<i8").tobytes(), s.count[seg].astype(np.uint8).tobytes(), whole.tobytes()))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([name] * len(out), pa.int64()), *(pa.array([x[k] for x in out], pa.binary()) for k in range(1, 5))], ["bucket", "batch", "anchor", "least", "count", "text"])
 
     def compared(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for k, names, anchors, leasts, counts, texts in _groups(rows, 6):
@@ -375,20 +393,19 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     masks = frozen(_by_batch(sent.mapInArrow(compared, "bucket long, batch long, found binary")), "masks")
 
     def results(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in rows:
-            for ids, sizes, data, found, mask in zip(*(b.column(k).to_pylist() for k in range(1, 6)), strict=True):
-                ids, texts = _unpack(ids, sizes, data)
-                a = Array(ids, texts, bits)
-                st = np.concatenate([np.empty(0, np.uint8), *_status(a, found, np.uint8)])
-                gone = removed(a, st, np.concatenate([np.empty(0, np.uint32), *_status(a, mask, np.uint32)]))
-                out = []
-                for i, t, lo in zip(ids.tolist(), texts, a.segments.begin.tolist(), strict=True):
-                    g = gone[lo : lo + len(t)]
-                    n = int(g.sum())
-                    kept = np.frombuffer(t, np.uint8)[~g].tobytes() if n else t
-                    spans = int(g[:1].sum() + (g[1:] & ~g[:-1]).sum()) if n else 0
-                    out.append((i if i != _LAST else None, len(t), n, spans, sha256(kept).hexdigest(), kept if with_text else None))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), [*[pa.int64()] * 4, pa.string(), pa.binary()], strict=True)], ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_bytes"])
+        for _, ids, sizes, data, found, mask in _rows(rows):
+            ids, texts = _unpack(ids, sizes, data)
+            a = Array(ids, texts, bits)
+            st = np.concatenate([np.empty(0, np.uint8), *_status(a, found, np.uint8)])
+            gone = removed(a, st, np.concatenate([np.empty(0, np.uint32), *_status(a, mask, np.uint32)]))
+            out = []
+            for i, t, lo in zip(ids.tolist(), texts, a.segments.begin.tolist(), strict=True):
+                g = gone[lo : lo + len(t)]
+                n = int(g.sum())
+                kept = np.frombuffer(t, np.uint8)[~g].tobytes() if n else t
+                spans = int(g[:1].sum() + (g[1:] & ~g[:-1]).sum()) if n else 0
+                out.append((i if i != _LAST else None, len(t), n, spans, sha256(kept).hexdigest(), kept if with_text else None))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), [*[pa.int64()] * 4, pa.string(), pa.binary()], strict=True)], ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_bytes"])
 
     last = text.join(status.hint("shuffle_hash"), "batch", "left").join(masks.withColumnRenamed("found", "masks").hint("shuffle_hash"), "batch", "left")
     done = last.mapInArrow(results, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_bytes binary")
