@@ -9,19 +9,21 @@ other functions at once, up to `DEPTH` times. Two sets of similarity 0.75 meet
 in a tree with probability 0.75 (0.747 where a node branches again), so all trees
 miss one in about 10^7.
 
-Nodes are compared exhaustively, but only links that can join two components are
-confirmed. First every member is held against its node's smallest member. Then,
-while a node has members of several components, its members are compared with
-one another by sketch (128 bytes; a pair of similarity 0.75 falls under the
-cutoff by chance once in some 10^6), and the best candidates that would join
-components, a spanning forest a node, go to the exact check; refuted pairs are
-remembered, and rounds go on until no candidate is left untried. A node that
-stays above LIMIT is compared in pairs of blocks, none dropped. Every link is
-confirmed on the full sets, made again from the whole texts. Components come
-from alternating large-star and small-star steps.
-
-No step emits all pairs of a group: the first emits a row a member, the others
-a forest. Copies are members of a class and never expanded.
+Only links that can join two components are confirmed. First every member of a
+root node is held against the node's smallest member; in large nodes what is
+left then meets members of the node's largest component. Nodes whose members are
+one component are done; only nodes with several, and with more than LIMIT
+members outside the largest, branch. Then the nodes' members are compared with
+one another across components, exhaustively, by sketch (256 bytes; a pair of
+similarity 0.75 falls under the cutoff by chance once in some 10^6). The best
+candidates, a spanning forest a node, go to the exact check, then up to QUOTA
+for each two components left apart, then all. Nodes above LIMIT are compared in
+blocks, none dropped. Every link is confirmed on the full sets, made again from
+the whole texts. Components come from alternating large-star and small-star steps.
+
+Members of one component are never paired: the first steps emit a row a member,
+the next a forest, the last what is doubtful between components. Copies are
+members of a class and never expanded.
 
 Defined results: a text with fewer words than five is one shingle; a null text
 or one without words has an empty set, links with nothing and is its own
@@ -45,8 +47,10 @@ from .common import documents, frozen, ship
 from .exact_dedup import climb, descend
 
 WORDS, PERCENT = 5, 75
-COORDINATES, TREES, LIMIT, BRANCHES, DEPTH = 128, 12, 256, 4, 3
-CUTOFF = 0.56
+COORDINATES, TREES, LIMIT, BRANCHES, DEPTH = 256, 12, 256, 4, 3
+CUTOFF = 0.62
+QUOTA = 64
+PASSES = 2  # against one member each, before large nodes branch
 MEMORY = 400_000
 SEED = 20_240_607
 
@@ -137,27 +141,39 @@ def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.mapInArrow(make, schema).withColumn("rid", F.monotonically_increasing_id())
 
 
-def trees(reps: DataFrame) -> DataFrame:
-    """node, rid, size: the nodes of at least two members in which the trees end."""
+def roots(reps: DataFrame) -> DataFrame:
+    """node, rid, tree: the first nodes of all trees, of at least two members."""
+    root = reps.select("rid", F.posexplode("roots").alias("tree", "token")).select(F.xxhash64("tree", "token").alias("node"), "rid", "tree")
+    return several(root)
 
-    def counted(level: DataFrame, name: str) -> DataFrame:
-        size = level.groupBy("node").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-        return frozen(level.join(size, "node"), name)
 
-    root = reps.select("rid", F.posexplode("roots").alias("tree", "token")).select(F.xxhash64("tree", "token").alias("node"), "rid", "tree")
-    level = counted(root, "nodes")
-    found = level.where(f"size <= {LIMIT}").select("node", "rid", "size")
-    for depth in range(1, DEPTH + 1):
-        big = level.where(f"size > {LIMIT}")
-        if big.isEmpty():
-            return found
-        paths = F.array(*[F.lit(b) for b in range(BRANCHES)])
-        big = big.join(reps.select("rid", "sketch"), "rid").withColumn("branch", F.explode(paths))
+def several(level: DataFrame) -> DataFrame:
+    return level.join(level.groupBy("node").agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").select("node"), "node")
+
+
+def apart(nodes: DataFrame, comps: DataFrame) -> DataFrame:
+    """nodes of several components: node, rid, tree, comp, size, major (the largest component) and minor (members outside it)."""
+    held = nodes.join(comps, "rid", "left").withColumn("comp", F.coalesce("comp", "rid"))
+    by = held.groupBy("node", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("node").agg(F.sum("c").alias("size"), F.max(F.struct("c", "comp")).alias("top"))
+    by = by.select("node", "size", F.col("top.comp").alias("major"), (F.col("size") - F.col("top.c")).alias("minor")).where("minor > 0")
+    return held.join(by, "node")
+
+
+def branched(nodes: DataFrame, reps: DataFrame, comps: DataFrame) -> DataFrame:
+    """node, rid, tree: the nodes of several components in which the trees end."""
+    found, level = None, nodes
+    for depth in range(DEPTH + 1):
+        held = frozen(apart(level, comps), f"level-{depth}")
+        big = (F.col("minor") > LIMIT) & F.lit(depth < DEPTH)
+        ends = held.where(~big).select("node", "rid", "tree")
+        found = ends if found is None else found.unionByName(ends)
+        grow = held.where(big)
+        if grow.isEmpty():
+            break
+        grow = grow.join(reps.select("rid", "sketch"), "rid").withColumn("branch", F.explode(F.array(*[F.lit(b) for b in range(BRANCHES)])))
         at = TREES + F.pmod(F.col("tree") * 13 + F.lit(depth * 7 * BRANCHES) + F.col("branch") * 7, F.lit(COORDINATES - TREES))
-        big = big.withColumn("token", F.substring(F.hex("sketch"), 2 * at + 1, F.lit(2)))
-        big = big.select(F.xxhash64("node", "branch", "token").alias("node"), "rid", "tree")
-        level = counted(big, f"nodes-{depth}")
-        found = found.unionByName((level if depth == DEPTH else level.where(f"size <= {LIMIT}")).select("node", "rid", "size"))
+        token = F.substring(F.hex("sketch"), 2 * at + 1, F.lit(2))
+        level = several(grow.select(F.xxhash64("node", "branch", token).alias("node"), "rid", "tree"))
     return found
 
 
@@ -165,25 +181,31 @@ def _bytes(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), COORDINATES)
 
 
-def against_first(nodes: DataFrame, reps: DataFrame) -> DataFrame:
-    """a, b: each member and its node's smallest, where their sketches allow the link."""
-    first = nodes.groupBy("node").agg(F.min("rid").alias("a"))
-    pairs = nodes.join(first, "node").where("rid <> a").select("a", F.col("rid").alias("b")).distinct()
+def agreement(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """In how many places the rows of two sketch tables agree: lanes of 8 bytes are added up, then their bytes."""
+    lanes = np.ascontiguousarray(a == b).view(np.uint64).sum(1, dtype=np.uint64)  # a lane counts to 32 at most
+    return ((lanes & np.uint64(0x00FF00FF00FF00FF)) + ((lanes >> np.uint64(8)) & np.uint64(0x00FF00FF00FF00FF))) * np.uint64(0x0001000100010001) >> np.uint64(48)
+
+
+def against_one(pairs: DataFrame, reps: DataFrame) -> DataFrame:
+    """The distinct pairs (a, b) whose sizes and sketches allow the link."""
     of = lambda c: reps.select(F.col("rid").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"sketch_{c}"))
     near = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * PERCENT
+    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
     pairs = pairs.join(of("a"), "a").join(of("b"), "b").where(near).select("a", "b", "sketch_a", "sketch_b")
 
     def allow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                alike = (_bytes(b.column(2)) == _bytes(b.column(3))).mean(1)
-                yield b.select([0, 1]).filter(pa.array(alike >= CUTOFF))
+                alike = agreement(_bytes(b.column(2)), _bytes(b.column(3)))
+                yield b.select([0, 1]).filter(pa.array(alike >= CUTOFF * COORDINATES))
 
     return pairs.mapInArrow(allow, "a long, b long")
 
 
-def forest(rid, comp, n, sketch, tested, cross) -> list[tuple[int, int]]:
-    """The best untried candidates that would join the components of one node. cross: blocks, compared across only."""
+def joining(rid, comp, n, sketch, tested, cross, quota: int) -> tuple[list[tuple[int, int]], bool]:
+    """The best untried candidates that would join components of one node: a spanning forest (quota 1), or so many
+    for each two components; and whether there are more. cross: blocks, compared across only."""
     pairs, scores = [], []
     for lo in range(0, len(rid), 64):
         hi = min(lo + 64, len(rid))
@@ -194,53 +216,79 @@ def forest(rid, comp, n, sketch, tested, cross) -> list[tuple[int, int]]:
         i, j = np.nonzero(ok)
         if not len(i):
             continue
-        alike = np.concatenate([(sketch[i[k : k + 20_000] + lo] == sketch[j[k : k + 20_000] + lo]).mean(1) for k in range(0, len(i), 20_000)])
-        good = alike >= CUTOFF
+        alike = np.concatenate([agreement(sketch[i[k : k + 20_000] + lo], sketch[j[k : k + 20_000] + lo]) for k in range(0, len(i), 20_000)])
+        good = alike >= CUTOFF * COORDINATES
         pairs += zip((i[good] + lo).tolist(), (j[good] + lo).tolist(), strict=True)
         scores += alike[good].tolist()
     up: dict = {}
+    spent: dict = {}
 
     def top(x):
         while x in up:
             x = up[x]
         return x
 
-    out = []
+    out, more = [], False
     for k in sorted(range(len(pairs)), key=lambda k: (-scores[k], pairs[k])):
         i, j = pairs[k]
-        a, b = top(comp[i]), top(comp[j])
         x, y = sorted((int(rid[i]), int(rid[j])))
-        if a != b and y not in tested.get(x, ()):
+        if y in tested.get(x, ()):
+            continue
+        if quota == 1:
+            a, b = top(comp[i]), top(comp[j])
+            if a == b:
+                more = True
+                continue
             up[max(a, b)] = min(a, b)
-            out.append((x, y))
-    return out
-
-
-def between_components(nodes: DataFrame, reps: DataFrame, comps: DataFrame, tried: DataFrame) -> DataFrame:
-    """node, a, b: candidates between different components within the nodes."""
-    held = nodes.join(comps, "rid", "left").withColumn("comp", F.coalesce("comp", "rid"))
-    mixed = held.groupBy("node").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("node")
-    held = held.join(mixed, "node", "left_semi").join(reps.select("rid", "n", "sketch"), "rid")
+            more = True  # if this one fails, another may hold
+        else:
+            both = min(comp[i], comp[j]), max(comp[i], comp[j])
+            spent[both] = spent.get(both, 0) + 1
+            if spent[both] > quota:
+                more = True
+                continue
+        out.append((x, y))
+    return out, more
+
+
+def between_components(nodes: DataFrame, reps: DataFrame, comps: DataFrame, tried: DataFrame, quota: int) -> DataFrame:
+    """a, b, more: candidates between different components within the nodes; more: a node has others."""
+    held = apart(nodes, comps).join(reps.select("rid", "n", "sketch"), "rid")
     held = held.join(tried.groupBy("a").agg(F.collect_set("b").alias("tested")).withColumnRenamed("a", "rid"), "rid", "left")
+    # Up to LIMIT members outside the largest component go to every block of it; else blocks meet in pairs.
     blocks = F.ceil(F.col("size") / LIMIT)
-    held = held.withColumn("block", F.pmod(F.xxhash64("rid"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
-    held = held.withColumn("one", F.least("block", "other")).withColumn("two", F.greatest("block", "other"))
+    few = F.col("minor") <= LIMIT
+    everywhere = few & (F.col("comp") != F.col("major"))
+    held = held.withColumn("block", F.pmod(F.xxhash64("rid"), blocks))
+    all_blocks = F.sequence(F.lit(0).cast("long"), blocks - 1)
+    held = held.withColumn("other", F.explode(F.when(few & ~everywhere, F.array("block")).otherwise(all_blocks)))
+    one = F.when(few, F.col("other")).otherwise(F.least("block", "other"))
+    two = F.when(few, F.col("other")).otherwise(F.greatest("block", "other"))
     parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    held = held.select("node", "one", "two", "block", "rid", "comp", "n", "sketch", "tested").repartition(parts, "node", "one", "two").sortWithinPartitions("node", "one", "two", "rid")
+    held = held.select("node", one.alias("one"), two.alias("two"), "block", "rid", "comp", "n", "sketch", "tested").repartition(parts, "node", "one", "two").sortWithinPartitions("node", "one", "two", "rid")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def done(t: pa.Table) -> pa.RecordBatch:
-            out = []
+        def batch(out: dict) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([p[0] for p in out], pa.int64()), pa.array([p[1] for p in out], pa.int64()), pa.array(list(out.values()), pa.bool_())], ["a", "b", "more"])
+
+        def done(t: pa.Table) -> Iterator[pa.RecordBatch]:
+            out: dict = {}
             keys = np.column_stack([t.column(k).to_numpy() for k in range(3)])
             cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1).tolist(), len(keys)]
             block, rid, comp, n = (t.column(k).to_numpy() for k in range(3, 7))
             sketch, tested = _bytes(t.column(7)), t.column(8)
             for lo, hi in zip(cuts, cuts[1:], strict=False):
                 s = slice(lo, hi)
+                if (comp[s] == comp[lo]).all():
+                    continue
                 known = {int(r): set(x) for r, x in zip(rid[s], tested[lo:hi].to_pylist(), strict=True) if x}
-                pairs = forest(rid[s], comp[s], n[s], sketch[s], known, block[s] if keys[lo, 1] != keys[lo, 2] else None)
-                out += [(int(keys[lo, 0]), a, b) for a, b in pairs]
-            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in range(3)], ["node", "a", "b"])
+                pairs, more = joining(rid[s], comp[s], n[s], sketch[s], known, block[s] if keys[lo, 1] != keys[lo, 2] else None, quota)
+                for p in pairs:
+                    out[p] = out.get(p, False) or more
+                if len(out) > 50_000:
+                    yield batch(out)
+                    out = {}
+            yield batch(out)
 
         rest = None
         for b in batches:
@@ -251,11 +299,11 @@ def between_components(nodes: DataFrame, reps: DataFrame, comps: DataFrame, trie
             cut = int((keys == last).all(1).argmax())
             rest = t.slice(cut)  # the last group may go on in the next batch; a group has 2 * LIMIT members, give or take
             if cut:
-                yield done(t.slice(0, cut))
+                yield from done(t.slice(0, cut))
         if rest is not None and rest.num_rows:
-            yield done(rest)
+            yield from done(rest)
 
-    return held.mapInArrow(compare, "node long, a long, b long")
+    return held.mapInArrow(compare, "a long, b long, more boolean").groupBy("a", "b").agg(F.max("more").alias("more"))
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -264,13 +312,19 @@ def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     both = pairs.join(of("b"), "b").join(of("a"), "a").select("a", "b", "text_a", "text_b")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingle, held, own = Shingler(), None, None
+        shingle, sets = Shingler(), {}
+
+        def of(rid: int, text: str) -> np.ndarray:
+            if rid not in sets:
+                if len(sets) > 1000:
+                    sets.clear()
+                sets[rid] = shingle(text)
+            return sets[rid]
+
         for rows in batches:
             linked = []
-            for a, x, y in zip(*(rows.column(k).to_pylist() for k in (0, 2, 3)), strict=True):
-                if a != held:
-                    held, own = a, shingle(x)
-                other = shingle(y)
+            for a, b, x, y in zip(*(rows.column(k).to_pylist() for k in range(4)), strict=True):
+                own, other = of(a, x), of(b, y)
                 shared = len(np.intersect1d(own, other, assume_unique=True))
                 linked.append(100 * shared >= PERCENT * (len(own) + len(other) - shared))
             yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(linked, pa.bool_())], ["a", "b", "linked"])
@@ -306,19 +360,34 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     first, best = climb(full, ["set"], smallest=True)
     best = frozen(best.select("set", F.col("top.rid").alias("rid"), F.col("top.id").alias("top_id")), "classes")
     reps = frozen(rows.join(best.select("rid"), "rid", "left_semi").select("rid", "key", "n", "roots", "sketch"), "representatives")
-    nodes = frozen(trees(reps), "trees")
+    nodes = frozen(roots(reps), "roots")
     near = nodes.select("rid").distinct().join(reps.select("rid", "key"), "rid")
     whole = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
     texts = frozen(whole.select(row_key(F.col("id"), F.col("text")).alias("key"), "text").join(near, "key").select("rid", "text"), "texts")
-    tried = frozen(confirmed(against_first(nodes, reps), texts), "tried")
-    open_nodes = nodes
-    while True:
-        comps = components(tried.where("linked"))
-        pairs = frozen(between_components(open_nodes, reps, comps, tried), "candidates")
-        if pairs.isEmpty():
+    first_of = nodes.groupBy("node").agg(F.min("rid").alias("a"))
+    tried = frozen(confirmed(against_one(nodes.join(first_of, "node").select("a", F.col("rid").alias("b")), reps), texts), "tried")
+    comps = components(tried.where("linked"))
+
+    def learn(pairs: DataFrame) -> None:
+        nonlocal tried, comps
+        new = frozen(confirmed(pairs, texts), "new")
+        tried = frozen(tried.unionByName(new), "tried")
+        if not new.where("linked").isEmpty():
+            comps = components(tried.where("linked"))
+
+    for k in range(1, PASSES):
+        crowded = frozen(apart(nodes, comps).where(F.col("minor") > LIMIT), "crowded")
+        if crowded.isEmpty():
+            break
+        some = crowded.where("comp = major").groupBy("node").agg(F.min(F.struct(F.xxhash64("rid", "node", F.lit(k)), "rid"))["rid"].alias("a"))
+        meet = against_one(crowded.where("comp <> major").join(some, "node").select("a", F.col("rid").alias("b")), reps)
+        learn(meet.join(tried.select("a", "b"), ["a", "b"], "left_anti"))
+    ends = frozen(branched(nodes, reps, comps), "trees")
+    for quota in (1, QUOTA, 1 << 40):
+        pairs = frozen(between_components(ends, reps, comps, tried, quota), "candidates")
+        learn(pairs.select("a", "b"))
+        if pairs.where("more").isEmpty():
             break
-        open_nodes = nodes.join(pairs.select("node").distinct(), "node", "left_semi")
-        tried = frozen(tried.unionByName(confirmed(pairs.select("a", "b").distinct(), texts)), "tried")
     best = best.join(comps, "rid", "left").withColumn("comp", F.coalesce("comp", "rid"))
     least = F.min(F.struct(F.col("top_id").isNull().alias("none"), F.col("top_id").alias("id"), "rid"))
     name = best.groupBy("comp").agg(least.alias("least"))
