@@ -6,8 +6,8 @@ representative gets `COORDINATES` minwise values. In each of `TREES` independent
 trees a root branches by the token that is minimal under the tree's own hash
 function; a node of more than `LIMIT` members branches again, along `BRANCHES`
 other functions at once, up to `DEPTH` times. Two sets of similarity 0.75 meet
-in a tree with probability 0.75 (0.747 where a node branches again), so all trees
-miss one in about 10^7.
+in a tree with probability 0.75 (0.70, 0.66 and 0.62 where nodes branch once, twice
+or three times), so all trees miss one in 10^7 (10^6, 10^5).
 
 Only links that can join two components are confirmed. First every member of a
 root node is held against the node's smallest member; in large nodes what is
@@ -15,14 +15,14 @@ left then meets members of the node's largest component. Nodes whose members are
 one component are done; only nodes with several, and with more than LIMIT
 members outside the largest, branch. Then the nodes' members are compared with
 one another across components, exhaustively, by sketch (256 bytes; a pair of
-similarity 0.75 falls under the cutoff by chance once in some 10^6). The best
-candidates, a spanning forest a node, go to the exact check, then up to QUOTA
-for each two components left apart, then all. Nodes above LIMIT are compared in
+similarity 0.75 falls under the cutoff by chance once in some 10^6): first for
+the best candidate of each component, then for all members that have a candidate
+left. These meet in their nodes once more with their sets, which are compared
+exactly, and what joins components goes on. Nodes above LIMIT are compared in
 blocks, none dropped. Every link is confirmed on the full sets, made again from
 the whole texts. Components come from alternating large-star and small-star steps.
 
-Members of one component are never paired: the first steps emit a row a member,
-the next a forest, the last what is doubtful between components. Copies are
+No step emits a node's pairs: each emits a row a member or component. Copies are
 members of a class and never expanded.
 
 Defined results: a text with fewer words than five is one shingle; a null text
@@ -47,9 +47,8 @@ from .common import documents, frozen, ship
 from .exact_dedup import climb, descend
 
 WORDS, PERCENT = 5, 75
-COORDINATES, TREES, LIMIT, BRANCHES, DEPTH = 256, 12, 256, 4, 3
+COORDINATES, TREES, LIMIT, BRANCHES, DEPTH = 256, 12, 4096, 2, 3
 CUTOFF = 0.62
-QUOTA = 64
 PASSES = 2  # against one member each, before large nodes branch
 MEMORY = 400_000
 SEED = 20_240_607
@@ -203,107 +202,186 @@ def against_one(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     return pairs.mapInArrow(allow, "a long, b long")
 
 
-def joining(rid, comp, n, sketch, tested, cross, quota: int) -> tuple[list[tuple[int, int]], bool]:
-    """The best untried candidates that would join components of one node: a spanning forest (quota 1), or so many
-    for each two components; and whether there are more. cross: blocks, compared across only."""
-    pairs, scores = [], []
-    for lo in range(0, len(rid), 64):
-        hi = min(lo + 64, len(rid))
+def doubtful(rid, comp, n, sketch, cross) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places (i, j) of members of different components whose sketches allow a link, and in how many coordinates they
+    differ. cross: blocks, compared across only."""
+    none = np.empty(0, np.int64)
+    parts = [(none, none, none.astype(np.int64))]
+    step = max(1, 262_144 // len(rid))
+    for lo in range(0, len(rid), step):
+        hi = min(lo + step, len(rid))
         ok = (comp[lo:hi, None] != comp[None, lo:]) & (np.arange(lo, hi)[:, None] < np.arange(lo, len(rid))[None, :])
         ok &= np.minimum(n[lo:hi, None], n[None, lo:]) * 100 >= np.maximum(n[lo:hi, None], n[None, lo:]) * PERCENT
         if cross is not None:
             ok &= cross[lo:hi, None] != cross[None, lo:]
         i, j = np.nonzero(ok)
-        if not len(i):
-            continue
-        alike = np.concatenate([agreement(sketch[i[k : k + 20_000] + lo], sketch[j[k : k + 20_000] + lo]) for k in range(0, len(i), 20_000)])
-        good = alike >= CUTOFF * COORDINATES
-        pairs += zip((i[good] + lo).tolist(), (j[good] + lo).tolist(), strict=True)
-        scores += alike[good].tolist()
+        for k in range(0, len(i), 20_000):
+            x, y = i[k : k + 20_000] + lo, j[k : k + 20_000] + lo
+            alike = agreement(sketch[x], sketch[y])
+            good = alike >= CUTOFF * COORDINATES
+            parts.append((x[good], y[good], COORDINATES - alike[good].astype(np.int64)))
+    return tuple(np.concatenate(c) for c in zip(*parts, strict=True))
+
+
+def best_links(rid, comp, n, sketch, cross) -> list[tuple[int, int]]:
+    """The best candidate of each component of a node."""
+    i, j, miss = doubtful(rid, comp, n, sketch, cross)
+    order = np.lexsort((j, i, miss))
+    one = [np.unique(comp[x][order], return_index=True)[1] for x in (i, j)]
+    pick = order[np.unique(np.concatenate(one))] if len(i) else order
+    return list(zip(np.minimum(rid[i[pick]], rid[j[pick]]).tolist(), np.maximum(rid[i[pick]], rid[j[pick]]).tolist(), strict=True))
+
+
+def exact_links(rid, comp, sets: list[np.ndarray], tile: int = 1024) -> list[tuple[int, int]]:
+    """Pairs of members of different components with enough in common, as many as join them (a forest). Counts what
+    two sets share by products of 0/1 matrices, a tile at a time; shingles of one member only are left out."""
+    n = np.array([len(s) for s in sets])
+    ids, count = np.unique(np.concatenate(sets), return_counts=True)
+    ids = ids[count > 1]
+    at = [np.searchsorted(ids, s[np.isin(s, ids, assume_unique=True)]) for s in sets]
     up: dict = {}
-    spent: dict = {}
 
     def top(x):
         while x in up:
             x = up[x]
         return x
 
-    out, more = [], False
-    for k in sorted(range(len(pairs)), key=lambda k: (-scores[k], pairs[k])):
-        i, j = pairs[k]
-        x, y = sorted((int(rid[i]), int(rid[j])))
-        if y in tested.get(x, ()):
-            continue
-        if quota == 1:
-            a, b = top(comp[i]), top(comp[j])
-            if a == b:
-                more = True
-                continue
-            up[max(a, b)] = min(a, b)
-            more = True  # if this one fails, another may hold
-        else:
-            both = min(comp[i], comp[j]), max(comp[i], comp[j])
-            spent[both] = spent.get(both, 0) + 1
-            if spent[both] > quota:
-                more = True
-                continue
-        out.append((x, y))
-    return out, more
-
-
-def between_components(nodes: DataFrame, reps: DataFrame, comps: DataFrame, tried: DataFrame, quota: int) -> DataFrame:
-    """a, b, more: candidates between different components within the nodes; more: a node has others."""
+    def matrix(lo: int, hi: int, first: int, last: int) -> np.ndarray:
+        m = np.zeros((hi - lo, last - first), np.float32)
+        for k in range(lo, hi):
+            a, b = np.searchsorted(at[k], (first, last))
+            m[k - lo, at[k][a:b] - first] = 1
+        return m
+
+    out = []
+    for lo in range(0, len(rid), tile):
+        for lo2 in range(lo, len(rid), tile):
+            hi, hi2 = min(lo + tile, len(rid)), min(lo2 + tile, len(rid))
+            shared = np.zeros((hi - lo, hi2 - lo2), np.float32)
+            for first in range(0, len(ids), 4096):
+                last = min(first + 4096, len(ids))
+                left = matrix(lo, hi, first, last)
+                shared += left @ (left if lo == lo2 else matrix(lo2, hi2, first, last)).T
+            union = n[lo:hi, None] + n[None, lo2:hi2] - shared.astype(np.float64)
+            ok = (100 * shared.astype(np.float64) >= PERCENT * union) & (comp[lo:hi, None] != comp[None, lo2:hi2])
+            for i, j in zip(*(x.tolist() for x in np.nonzero(ok)), strict=True):
+                i, j = i + lo, j + lo2
+                if i < j:
+                    x, y = sorted((int(rid[i]), int(rid[j])))
+                    a, b = top(comp[i]), top(comp[j])
+                    if a != b:
+                        up[max(a, b)] = min(a, b)
+                        out.append((x, y))
+    return out
+
+
+def _in_groups(batches: Iterator[pa.RecordBatch], columns: list[str], rows) -> Iterator[pa.RecordBatch]:
+    """rows(table) of each run of equal first three columns; what it returns becomes rows of the given long columns."""
+    out: list = []
+
+    def whole(t: pa.Table) -> Iterator[pa.Table]:
+        keys = np.column_stack([t.column(k).to_numpy() for k in range(3)])
+        cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1).tolist(), len(keys)]
+        for lo, hi in zip(cuts, cuts[1:], strict=False):
+            yield t.slice(lo, hi - lo)
+
+    def ready() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in range(len(columns))], columns)
+
+    rest = None
+    for b in batches:
+        t = pa.Table.from_batches([b])
+        t = t if rest is None else pa.concat_tables([rest, t])
+        groups = list(whole(t))
+        rest = groups.pop() if groups else None  # may go on in the next batch; a group has some LIMIT members, in pairs of blocks twice as many
+        for g in groups:
+            out += rows(g)
+            if len(out) > 50_000:
+                yield ready()
+                out = []
+    if rest is not None and rest.num_rows:
+        out += rows(rest)
+    if out:
+        yield ready()
+
+
+def in_nodes(nodes: DataFrame, reps: DataFrame, comps: DataFrame) -> DataFrame:
+    """The members of nodes of several components, in the groups in which they are compared (node, one, two)."""
     held = apart(nodes, comps).join(reps.select("rid", "n", "sketch"), "rid")
-    held = held.join(tried.groupBy("a").agg(F.collect_set("b").alias("tested")).withColumnRenamed("a", "rid"), "rid", "left")
     # Up to LIMIT members outside the largest component go to every block of it; else blocks meet in pairs.
     blocks = F.ceil(F.col("size") / LIMIT)
-    few = F.col("minor") <= LIMIT
-    everywhere = few & (F.col("comp") != F.col("major"))
+    few = (F.col("minor") <= LIMIT) & (blocks > 1)
     held = held.withColumn("block", F.pmod(F.xxhash64("rid"), blocks))
-    all_blocks = F.sequence(F.lit(0).cast("long"), blocks - 1)
-    held = held.withColumn("other", F.explode(F.when(few & ~everywhere, F.array("block")).otherwise(all_blocks)))
+    one_block = held.where(blocks == 1).select("node", F.lit(0).cast("long").alias("one"), F.lit(0).cast("long").alias("two"), "block", "rid", "comp", "n", "sketch")
+    large = held.where(blocks > 1)
+    own = few & (F.col("comp") == F.col("major"))
+    large = large.withColumn("other", F.explode(F.when(own, F.array("block")).otherwise(F.sequence(F.lit(0).cast("long"), blocks - 1))))
     one = F.when(few, F.col("other")).otherwise(F.least("block", "other"))
     two = F.when(few, F.col("other")).otherwise(F.greatest("block", "other"))
-    parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    held = held.select("node", one.alias("one"), two.alias("two"), "block", "rid", "comp", "n", "sketch", "tested").repartition(parts, "node", "one", "two").sortWithinPartitions("node", "one", "two", "rid")
+    return one_block.unionByName(large.select("node", one.alias("one"), two.alias("two"), "block", "rid", "comp", "n", "sketch"))
+
+
+def grouped(rows: DataFrame) -> DataFrame:
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(parts, "node", "one", "two").sortWithinPartitions("node", "one", "two", "rid")
+
+
+def _members(t: pa.Table):
+    block, rid, comp, n = (t.column(k).to_numpy() for k in (3, 4, 5, 6))
+    cross = block if t.column(1)[0].as_py() != t.column(2)[0].as_py() else None
+    return rid, comp, n, _bytes(t.column(7)), cross
+
+
+def best_pairs(held: DataFrame) -> DataFrame:
+    """a, b: for each component in each group its best candidate in another."""
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _in_groups(batches, ["a", "b"], lambda t: best_links(*_members(t)))
+
+    return grouped(held).mapInArrow(compare, "a long, b long").distinct()
+
+
+def active(held: DataFrame) -> DataFrame:
+    """node, one, two, rid: the members of the groups that have a candidate in another component."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def batch(out: dict) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([p[0] for p in out], pa.int64()), pa.array([p[1] for p in out], pa.int64()), pa.array(list(out.values()), pa.bool_())], ["a", "b", "more"])
-
-        def done(t: pa.Table) -> Iterator[pa.RecordBatch]:
-            out: dict = {}
-            keys = np.column_stack([t.column(k).to_numpy() for k in range(3)])
-            cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1).tolist(), len(keys)]
-            block, rid, comp, n = (t.column(k).to_numpy() for k in range(3, 7))
-            sketch, tested = _bytes(t.column(7)), t.column(8)
-            for lo, hi in zip(cuts, cuts[1:], strict=False):
-                s = slice(lo, hi)
-                if (comp[s] == comp[lo]).all():
-                    continue
-                known = {int(r): set(x) for r, x in zip(rid[s], tested[lo:hi].to_pylist(), strict=True) if x}
-                pairs, more = joining(rid[s], comp[s], n[s], sketch[s], known, block[s] if keys[lo, 1] != keys[lo, 2] else None, quota)
-                for p in pairs:
-                    out[p] = out.get(p, False) or more
-                if len(out) > 50_000:
-                    yield batch(out)
-                    out = {}
-            yield batch(out)
-
-        rest = None
+        def rows(t: pa.Table) -> list[tuple]:
+            rid, comp, n, sketch, cross = _members(t)
+            i, j, _ = doubtful(rid, comp, n, sketch, cross)
+            key = tuple(t.column(k)[0].as_py() for k in range(3))
+            return [(*key, r, c) for r, c in zip(*(x[np.unique(np.concatenate([i, j]))].tolist() for x in (rid, comp)), strict=True)]
+
+        return _in_groups(batches, ["node", "one", "two", "rid", "comp"], rows)
+
+    return grouped(held).mapInArrow(compare, "node long, one long, two long, rid long, comp long")
+
+
+def fine_sets(texts: DataFrame) -> DataFrame:
+    """rid, fine: the shingles of these texts."""
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingle = Shingler()
         for b in batches:
-            t = pa.Table.from_batches([b])
-            t = t if rest is None else pa.concat_tables([rest, t])
-            last = [t.column(k)[-1].as_py() for k in range(3)]
-            keys = np.column_stack([t.column(k).to_numpy() for k in range(3)])
-            cut = int((keys == last).all(1).argmax())
-            rest = t.slice(cut)  # the last group may go on in the next batch; a group has 2 * LIMIT members, give or take
-            if cut:
-                yield from done(t.slice(0, cut))
-        if rest is not None and rest.num_rows:
-            yield from done(rest)
+            fine = [shingle(t).tobytes() for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fine, pa.binary())], ["rid", "fine"])
 
-    return held.mapInArrow(compare, "a long, b long, more boolean").groupBy("a", "b").agg(F.max("more").alias("more"))
+    return texts.select("rid", "text").mapInArrow(make, "rid long, fine binary")
+
+
+def joining_pairs(members: DataFrame, fine: DataFrame) -> DataFrame:
+    """a, b: in each group, pairs with enough in common, as many as join its components."""
+    rows = members.join(fine, "rid")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def pairs(t: pa.Table) -> list[tuple[int, int]]:
+            rid, comp = t.column(3).to_numpy(), t.column(4).to_numpy()
+            if (comp == comp[0]).all():
+                return []
+            return exact_links(rid, comp, [np.frombuffer(x, np.uint64) for x in t.column(5).to_pylist()])
+
+        return _in_groups(batches, ["a", "b"], pairs)
+
+    return grouped(rows.select("node", "one", "two", "rid", "comp", "fine")).mapInArrow(compare, "a long, b long").distinct()
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -368,12 +446,14 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     tried = frozen(confirmed(against_one(nodes.join(first_of, "node").select("a", F.col("rid").alias("b")), reps), texts), "tried")
     comps = components(tried.where("linked"))
 
-    def learn(pairs: DataFrame) -> None:
+    def learn(pairs: DataFrame) -> bool:
         nonlocal tried, comps
         new = frozen(confirmed(pairs, texts), "new")
         tried = frozen(tried.unionByName(new), "tried")
-        if not new.where("linked").isEmpty():
-            comps = components(tried.where("linked"))
+        if new.where("linked").isEmpty():
+            return False
+        comps = components(tried.where("linked"))
+        return True
 
     for k in range(1, PASSES):
         crowded = frozen(apart(nodes, comps).where(F.col("minor") > LIMIT), "crowded")
@@ -383,11 +463,10 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
         meet = against_one(crowded.where("comp <> major").join(some, "node").select("a", F.col("rid").alias("b")), reps)
         learn(meet.join(tried.select("a", "b"), ["a", "b"], "left_anti"))
     ends = frozen(branched(nodes, reps, comps), "trees")
-    for quota in (1, QUOTA, 1 << 40):
-        pairs = frozen(between_components(ends, reps, comps, tried, quota), "candidates")
-        learn(pairs.select("a", "b"))
-        if pairs.where("more").isEmpty():
-            break
+    learn(best_pairs(in_nodes(ends, reps, comps)).join(tried.select("a", "b"), ["a", "b"], "left_anti"))
+    members = frozen(active(in_nodes(ends, reps, comps)), "active")
+    fine = frozen(fine_sets(texts.join(members.select("rid").distinct(), "rid")), "fine")
+    learn(joining_pairs(members, fine))
     best = best.join(comps, "rid", "left").withColumn("comp", F.coalesce("comp", "rid"))
     least = F.min(F.struct(F.col("top_id").isNull().alias("none"), F.col("top_id").alias("id"), "rid"))
     name = best.groupBy("comp").agg(least.alias("least"))
