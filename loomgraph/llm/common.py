@@ -7,12 +7,14 @@ import atexit
 import string
 import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.shipping import ship
+
+__all__ = ["ASCII_SPACE", "ascii_lower", "documents", "frozen", "scratch_path", "shared_root", "ship", "word_count"]
+
 #: The ASCII white space of the word rule: space and 0x09 to 0x0D.
 ASCII_SPACE = " \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -57,20 +59,6 @@ def frozen(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def ship(spark: SparkSession) -> None:
-    """Sends this package to the Python workers, once a Spark context: executors need no copy of it."""
-    sc = spark.sparkContext
-    if getattr(sc, "_loomgraph_sent", False):
-        return
-    package = Path(__file__).resolve().parents[1]
-    target = Path(tempfile.mkdtemp(prefix="loomgraph-")) / "loomgraph.zip"
-    with zipfile.ZipFile(target, "w") as z:
-        for f in sorted(package.rglob("*.py")):
-            z.write(f, f.relative_to(package.parent))
-    sc.addPyFile(str(target))
-    sc._loomgraph_sent = True
-
-
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

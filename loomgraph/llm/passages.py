@@ -90,14 +90,17 @@ class Segments:
         ends = np.cumsum(self.size)
         while lo < len(texts):
             hi = max(lo + 1, int(np.searchsorted(ends, self.begin[lo] + CHUNK, "right")))
-            parts.append(self._chunk(lo, hi))
+            if hi == lo + 1:  # a long document goes window by window too
+                for first in range(0, max(1, int(self.size[lo])), CHUNK):
+                    parts.append(self._chunk(lo, self.begin[lo] + first, np.minimum(self.size[lo : lo + 1] - first, CHUNK + SPAN - 1)))
+            else:
+                parts.append(self._chunk(lo, self.begin[lo], self.size[lo:hi]))
             lo = hi
         self.start, self.count, self.doc, self.anchor, self.content = (np.concatenate(c) for c in zip(*parts, strict=True)) if parts else (np.empty(0, np.int64),) * 5
 
-    def _chunk(self, lo: int, hi: int):
-        base = self.begin[lo]
-        begin, n = self.begin[lo:hi] - base, self.size[lo:hi]
-        total = int(n.sum())
+    def _chunk(self, lo: int, base: int, n: np.ndarray):
+        """The segments of documents lo, lo + 1, ... of n bytes each from base on."""
+        begin, total = np.cumsum(n) - n, int(n.sum())
         w = words_of(self.stream[base : base + total + 64])
         none = (np.empty(0, np.int64),) * 3 + (np.empty(0, np.uint64),) * 2
         if total < SPAN:
