@@ -54,9 +54,22 @@ def extension(path: Column) -> Column:
 
 
 def is_test_file(path: Column) -> Column:
-    """By a test folder in the path or a test-like name."""
+    """By a test folder in the path, or the name's start or end."""
     low = F.lower(path)
-    return low.rlike(r"(^|/)(tests?|__tests__|spec|specs)/") | low.rlike(r"(^|/)test_[^/]*$|[^/]*(_test|\.test|\.spec|tests?)\.[^./]+$")
+    return low.rlike(r"(^|/)(test|tests|__tests__)(/|$)") | low.rlike(r"(^|/)test_[^/]*$") | low.rlike(r"(_test\.go|tests?\.java|\.(test|spec)\.(js|ts))$")
+
+
+#: Fixed value: tasks that only build or check.
+SAFE_TASK = r"(?i)(^|[-_:])(build|check|compile|format|lint|test|typecheck|verify)([-_:]|$)"
+
+
+def is_safe_task(name: Column) -> Column:
+    return name.rlike(SAFE_TASK)
+
+
+def make_target(line: Column) -> Column:
+    """The target that a build-file line defines, null if it defines none."""
+    return F.nullif(F.regexp_extract(line, r"^([A-Za-z0-9][A-Za-z0-9_.\-]*):(?:\s|$)", 1), F.lit(""))
 
 
 def in_folders(path: Column, names: list[str]) -> Column:

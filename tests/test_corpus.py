@@ -189,3 +189,11 @@ def test_text_functions(spark):
     r = df.select(text.slug(F.col("a")), text.plain_log_line(F.col("b")), ident, rest, text.is_test_file(F.col("d")), text.extension(F.col("d")), text.version_or_implicit(F.lit(" "))).first()
     assert tuple(r) == ("hello-world", "x", "T-1", "do :: it", True, ".java", "(managed/implicit)") and text.slug_of("!!").startswith("item-")
     assert text.summary_of_errors("[INFO] a\n[ERROR] bad\nCaused by: z\n[ERROR] bad")[:2] == ["bad", "Caused by: z"]
+
+
+def test_build_tasks(spark):
+    df = spark.createDataFrame([("build:all",), ("deploy",), ("unit-test: x",), ("rebuild",), ("Lint",)], "t string")
+    got = [tuple(r) for r in df.select(text.is_safe_task(F.col("t")), text.make_target(F.col("t"))).collect()]
+    assert got == [(True, None), (False, None), (True, "unit-test"), (False, None), (True, None)]
+    paths = spark.createDataFrame([("a/tests/x.py",), ("a/test_x.py",), ("a/x_test.go",), ("a/latest/x.py",), ("a/x.spec.ts",), ("contest.java",)], "p string")
+    assert [r[0] for r in paths.select(text.is_test_file(F.col("p"))).collect()] == [True, True, True, False, True, True]
