@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.shipping import ship
 
-__all__ = ["ASCII_SPACE", "ascii_lower", "documents", "frozen", "scratch_path", "shared_root", "ship", "word_count"]
+__all__ = ["ASCII_SPACE", "ascii_lower", "documents", "frozen", "frozen_by", "scratch_path", "shared_root", "ship", "word_count"]
 
 #: The ASCII white space of the word rule: space and 0x09 to 0x0D.
 ASCII_SPACE = " \t\n\x0b\x0c\r"
@@ -59,6 +59,23 @@ def frozen(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def frozen_by(df: DataFrame, name: str, key: str) -> DataFrame:
+    """df as a table bucketed by key in the shared folder: later joins on key move only their other side."""
+    spark = df.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    table = f"loomgraph_{name}_{uuid.uuid4().hex}"
+    df.repartition(parts, key).write.bucketBy(parts, key).option("path", scratch_path(spark, name)).option("compression", "zstd").saveAsTable(table)
+    atexit.register(_drop, spark, table)
+    return spark.table(table)
+
+
+def _drop(spark: SparkSession, table: str) -> None:
+    try:
+        spark.sql(f"DROP TABLE IF EXISTS {table}")
+    except Exception:  # noqa: BLE001  the session may have ended before
+        pass
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -43,12 +43,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, frozen, ship
+from .common import documents, frozen, frozen_by, ship
 from .exact_dedup import climb, descend
 
 WORDS, PERCENT = 5, 75
 COORDINATES, TREES, LIMIT, BRANCHES, DEPTH = 256, 12, 4096, 2, 3
 CUTOFF = 0.62
+COARSE, COARSE_CUTOFF = 64, 0.48  # the first coordinates alone, to find members without any candidate
 PASSES = 2  # against one member each, before large nodes branch
 MEMORY = 400_000
 SEED = 20_240_607
@@ -177,7 +178,8 @@ def branched(nodes: DataFrame, reps: DataFrame, comps: DataFrame) -> DataFrame:
 
 
 def _bytes(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), COORDINATES)
+    """The sketches of a column, all of one width."""
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1)
 
 
 def agreement(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -206,7 +208,9 @@ def doubtful(rid, comp, n, sketch, cross) -> tuple[np.ndarray, np.ndarray, np.nd
     """Places (i, j) of members of different components whose sketches allow a link, and in how many coordinates they
     differ. cross: blocks, compared across only."""
     none = np.empty(0, np.int64)
-    parts = [(none, none, none.astype(np.int64))]
+    parts = [(none, none, none)]
+    width = sketch.shape[1]
+    least = (CUTOFF if width == COORDINATES else COARSE_CUTOFF) * width
     step = max(1, 262_144 // len(rid))
     for lo in range(0, len(rid), step):
         hi = min(lo + step, len(rid))
@@ -218,8 +222,8 @@ def doubtful(rid, comp, n, sketch, cross) -> tuple[np.ndarray, np.ndarray, np.nd
         for k in range(0, len(i), 20_000):
             x, y = i[k : k + 20_000] + lo, j[k : k + 20_000] + lo
             alike = agreement(sketch[x], sketch[y])
-            good = alike >= CUTOFF * COORDINATES
-            parts.append((x[good], y[good], COORDINATES - alike[good].astype(np.int64)))
+            good = alike >= least
+            parts.append((x[good], y[good], width - alike[good].astype(np.int64)))
     return tuple(np.concatenate(c) for c in zip(*parts, strict=True))
 
 
@@ -305,20 +309,30 @@ def _in_groups(batches: Iterator[pa.RecordBatch], columns: list[str], rows) -> I
         yield ready()
 
 
-def in_nodes(nodes: DataFrame, reps: DataFrame, comps: DataFrame) -> DataFrame:
+GROUP = ["node", "one", "two", "block", "rid", "comp"]
+
+
+def in_nodes(nodes: DataFrame, comps: DataFrame) -> DataFrame:
     """The members of nodes of several components, in the groups in which they are compared (node, one, two)."""
-    held = apart(nodes, comps).join(reps.select("rid", "n", "sketch"), "rid")
+    held = apart(nodes, comps)
     # Up to LIMIT members outside the largest component go to every block of it; else blocks meet in pairs.
     blocks = F.ceil(F.col("size") / LIMIT)
     few = (F.col("minor") <= LIMIT) & (blocks > 1)
     held = held.withColumn("block", F.pmod(F.xxhash64("rid"), blocks))
-    one_block = held.where(blocks == 1).select("node", F.lit(0).cast("long").alias("one"), F.lit(0).cast("long").alias("two"), "block", "rid", "comp", "n", "sketch")
+    zero = F.lit(0).cast("long")
+    one_block = held.where(blocks == 1).select("node", zero.alias("one"), zero.alias("two"), "block", "rid", "comp")
     large = held.where(blocks > 1)
     own = few & (F.col("comp") == F.col("major"))
-    large = large.withColumn("other", F.explode(F.when(own, F.array("block")).otherwise(F.sequence(F.lit(0).cast("long"), blocks - 1))))
+    large = large.withColumn("other", F.explode(F.when(own, F.array("block")).otherwise(F.sequence(zero, blocks - 1))))
     one = F.when(few, F.col("other")).otherwise(F.least("block", "other"))
     two = F.when(few, F.col("other")).otherwise(F.greatest("block", "other"))
-    return one_block.unionByName(large.select("node", one.alias("one"), two.alias("two"), "block", "rid", "comp", "n", "sketch"))
+    return one_block.unionByName(large.select("node", one.alias("one"), two.alias("two"), "block", "rid", "comp"))
+
+
+def with_sketch(members: DataFrame, reps: DataFrame, width: int = COORDINATES) -> DataFrame:
+    """members (of GROUP) with n and the first coordinates of their sketch."""
+    sketch = reps.select("rid", "n", F.substring("sketch", 1, width).alias("sketch") if width < COORDINATES else "sketch")
+    return members.select(*GROUP).join(sketch, "rid").select(*GROUP, "n", "sketch")
 
 
 def grouped(rows: DataFrame) -> DataFrame:
@@ -342,18 +356,24 @@ def best_pairs(held: DataFrame) -> DataFrame:
 
 
 def active(held: DataFrame) -> DataFrame:
-    """node, one, two, rid: the members of the groups that have a candidate in another component."""
+    """The members of the groups that have a candidate in another component."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows(t: pa.Table) -> list[tuple]:
             rid, comp, n, sketch, cross = _members(t)
             i, j, _ = doubtful(rid, comp, n, sketch, cross)
+            some = np.unique(np.concatenate([i, j]))
             key = tuple(t.column(k)[0].as_py() for k in range(3))
-            return [(*key, r, c) for r, c in zip(*(x[np.unique(np.concatenate([i, j]))].tolist() for x in (rid, comp)), strict=True)]
+            return [(*key, b, r, c) for b, r, c in zip(*(x[some].tolist() for x in (t.column(3).to_numpy(), rid, comp)), strict=True)]
+
+        return _in_groups(batches, GROUP, rows)
+
+    return grouped(held).mapInArrow(compare, ", ".join(f"{c} long" for c in GROUP))
 
-        return _in_groups(batches, ["node", "one", "two", "rid", "comp"], rows)
 
-    return grouped(held).mapInArrow(compare, "node long, one long, two long, rid long, comp long")
+def renamed(members: DataFrame, comps: DataFrame) -> DataFrame:
+    """members with their components as they are by now."""
+    return members.drop("comp").join(comps, "rid", "left").withColumn("comp", F.coalesce("comp", "rid"))
 
 
 def fine_sets(texts: DataFrame) -> DataFrame:
@@ -437,11 +457,11 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     full = rows.where("n > 0").select("rid", "id", "key", "n", "set")
     first, best = climb(full, ["set"], smallest=True)
     best = frozen(best.select("set", F.col("top.rid").alias("rid"), F.col("top.id").alias("top_id")), "classes")
-    reps = frozen(rows.join(best.select("rid"), "rid", "left_semi").select("rid", "key", "n", "roots", "sketch"), "representatives")
+    reps = frozen_by(rows.join(best.select("rid"), "rid", "left_semi").select("rid", "key", "n", "roots", "sketch"), "representatives", "rid")
     nodes = frozen(roots(reps), "roots")
     near = nodes.select("rid").distinct().join(reps.select("rid", "key"), "rid")
     whole = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
-    texts = frozen(whole.select(row_key(F.col("id"), F.col("text")).alias("key"), "text").join(near, "key").select("rid", "text"), "texts")
+    texts = frozen_by(whole.select(row_key(F.col("id"), F.col("text")).alias("key"), "text").join(near, "key").select("rid", "text"), "texts", "rid")
     first_of = nodes.groupBy("node").agg(F.min("rid").alias("a"))
     tried = frozen(confirmed(against_one(nodes.join(first_of, "node").select("a", F.col("rid").alias("b")), reps), texts), "tried")
     comps = components(tried.where("linked"))
@@ -463,8 +483,9 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
         meet = against_one(crowded.where("comp <> major").join(some, "node").select("a", F.col("rid").alias("b")), reps)
         learn(meet.join(tried.select("a", "b"), ["a", "b"], "left_anti"))
     ends = frozen(branched(nodes, reps, comps), "trees")
-    learn(best_pairs(in_nodes(ends, reps, comps)).join(tried.select("a", "b"), ["a", "b"], "left_anti"))
-    members = frozen(active(in_nodes(ends, reps, comps)), "active")
+    coarse = frozen(active(with_sketch(in_nodes(ends, comps), reps, COARSE)), "coarse")
+    learn(best_pairs(with_sketch(coarse, reps)).join(tried.select("a", "b"), ["a", "b"], "left_anti"))
+    members = frozen(active(with_sketch(renamed(coarse, comps), reps)), "active")
     fine = frozen(fine_sets(texts.join(members.select("rid").distinct(), "rid")), "fine")
     learn(joining_pairs(members, fine))
     best = best.join(comps, "rid", "left").withColumn("comp", F.coalesce("comp", "rid"))
