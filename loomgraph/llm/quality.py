@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import ASCII_SPACE, documents, frozen
 
 #: rate: (slack, two-sided)
-RATES = {"symbols": (20, False), "dup_lines": (100, False), "repeats": (100, False), "word_length": (100, True)}
+RATES = {"symbols": (20, False), "dup_lines": (150, False), "repeats": (150, False), "word_length": (100, True)}
 SPREAD = 3
 MIN_GROUP = 200
 
