@@ -194,8 +194,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     ship(docs.sparkSession)
     sent, fitted = fit(docs, labels, id_col, text_col, label_col, fold, held, n, most)
     out = F.coalesce(remainder(F.col(id_col), fold) == held, F.lit(True))
-    rows = docs.withColumn("__lg_text", F.coalesce(F.col(text_col), F.lit(""))) if carry else docs.select(F.col(id_col).alias("id"), out.alias("held_out"), F.coalesce(F.col(text_col), F.lit("")).alias("__lg_text"))
-    kept = [c for c in rows.columns if c != "__lg_text"]
+    rows = docs if carry else docs.select(F.col(id_col).alias("id"), out.alias("held_out"), F.col(text_col).alias("text"))
+    at = docs.columns.index(text_col) if carry else 2
+    kept = rows.columns if carry else ["id", "held_out"]
     schema = rows.select(*kept, F.lit(0.0).alias("__lg_score")).schema
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,9 +204,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
         for b in batches:
             for k in range(0, b.num_rows, 500):
                 part = b.slice(k, 500)
-                texts = part.column(part.num_columns - 1).to_pylist()
+                texts = [t or "" for t in part.column(at).to_pylist()]
                 p = probability(fitted, scorer(texts)) if scorer else np.full(len(texts), fitted)
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(p, pa.float64())], names=[*kept, "__lg_score"])
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(kept)], pa.array(p, pa.float64())], names=[*kept, "__lg_score"])
 
     scored = rows.mapInArrow(score, schema)
     if carry:
