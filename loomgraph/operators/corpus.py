@@ -6,7 +6,9 @@ from collections.abc import Iterator
 from difflib import SequenceMatcher
 from functools import reduce
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,14 +47,74 @@ def candidate_pairs(units: DataFrame, uid_col: str, size_col: str, hash_col: str
     return left.join(right, "band").where(before & inside & (F.col("l_hash") != F.col("r_hash"))).select("l_uid", "l_size", "r_uid", "r_size")
 
 
+LETTERS, BLOCK = 128, 256
+
+
+def close_pairs(units: DataFrame, uid_col: str, text_col: str, size_col: str, hash_col: str, threshold: float) -> DataFrame:
+    """The candidate pairs whose ratio can reach the threshold, none left out: a ratio is at most 1 - d / t, where d is the
+    sum of the differences of character counts and t the length of both texts. Counts of characters that fall together
+    (code point mod LETTERS) or stop at 65,535 only make d smaller.
+
+    Texts of a band are dealt into blocks of about BLOCK, and a task holds the counts of two blocks at a time; only
+    the counts travel, and only the pairs that pass are rows.
+    """
+
+    @F.pandas_udf("binary")
+    def counts(text: pd.Series) -> pd.Series:
+        return pd.Series([np.minimum(np.bincount(np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32) % LETTERS, minlength=LETTERS), 65_535).astype(np.uint16).tobytes() for t in text])
+
+    band = F.floor(F.log(F.greatest(F.col(size_col), F.lit(64)).cast("double")) / F.log(F.lit(1.25)))
+    u = units.where(F.col(text_col).isNotNull() & F.col(size_col).isNotNull() & F.col(hash_col).isNotNull() & F.col(uid_col).isNotNull())
+    u = u.select(F.col(uid_col).alias("uid"), F.col(size_col).cast("long").alias("size"), F.col(hash_col).alias("hash"), F.length(text_col).alias("len"), counts(text_col).alias("counts"), band.alias("band"))
+    sizes = u.groupBy("band").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))  # as many rows as sizes have powers of 1.25
+    u = u.join(F.broadcast(sizes), "band").withColumn("block", F.pmod(F.xxhash64("uid", "hash"), F.col("blocks")))
+    row = F.struct("uid", "size", "hash", "len", "counts")
+    blocks = u.groupBy("band", "block").agg(F.collect_list(row).alias("rows"))
+    left = blocks.select(F.explode(F.sequence(F.col("band"), F.col("band") + 2)).alias("at"), F.col("band").alias("l_band"), F.col("block").alias("l_block"), F.col("rows").alias("l"))
+    right = blocks.select(F.col("band").alias("at"), F.col("block").alias("r_block"), F.col("rows").alias("r"))
+    # inside a band either row of a pair may be the left one; decide() settles that, so each two blocks meet once
+    both = left.join(right, "at").where((F.col("at") > F.col("l_band")) | (F.col("l_block") <= F.col("r_block"))).select("l", "r")
+    tasks = int(units.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    both = both.repartition(tasks)
+    kind = u.schema["uid"].dataType.simpleString()
+
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def block(rows):
+            uid, size, hash_, n, c = (rows.field(k) for k in range(5))
+            return uid, size.to_numpy(), np.array(hash_.to_pylist(), object), n.to_numpy(zero_copy_only=False).astype(np.int64), np.frombuffer(b"".join(c.to_pylist()), np.uint16).reshape(-1, LETTERS).astype(np.int32)
+
+        for b in batches:
+            for k in range(b.num_rows):
+                l_uid, l_size, l_hash, l_len, l_counts = block(b.column(0)[k].values)
+                r_uid, r_size, r_hash, r_len, r_counts = block(b.column(1)[k].values)
+                l_id, r_id = (np.array(x.to_pylist(), object) for x in (l_uid, r_uid))
+                found: tuple[list, list] = [], []
+                for i in range(len(l_id)):
+                    both = np.maximum(l_len[i] + r_len, 1)
+                    near = np.flatnonzero(1 - np.abs(r_counts - l_counts[i]).sum(1) / both >= threshold - 1e-9)
+                    for j in near.tolist():
+                        x, y = (l_size[i], l_id[i]), (r_size[j], r_id[j])
+                        if x == y or l_hash[i] == r_hash[j]:
+                            continue
+                        low, high = (x, y) if x < y else (y, x)
+                        if high[0] <= low[0] * 5 // 4 + 8:
+                            found[0].append(low[1])
+                            found[1].append(high[1])
+                yield pa.RecordBatch.from_arrays([pa.array(found[0], l_uid.type), pa.array(found[1], r_uid.type)], ["l_uid", "r_uid"])
+
+    return both.mapInArrow(decide, f"l_uid {kind}, r_uid {kind}").distinct()
+
+
 def similar_pairs(units: DataFrame, uid_col: str, text_col: str, size_col: str, hash_col: str, threshold: float = 0.9, budget: int | None = 50_000, autojunk: bool = True) -> DataFrame:
     """l_uid, r_uid, similarity of candidate pairs at or above the threshold. budget: so many pairs are compared at most
-    (a setting of the operator), the first in (size, uid) order of left and right."""
-    pairs = candidate_pairs(units, uid_col, size_col, hash_col)
-    if budget is not None:
-        pairs = pairs.orderBy("l_size", "l_uid", "r_size", "r_uid").limit(budget)
+    (a setting of the operator), the first in (size, uid) order of left and right; None decides all of them."""
+    if budget is None:
+        pairs = close_pairs(units, uid_col, text_col, size_col, hash_col, threshold)
+    else:
+        pairs = candidate_pairs(units, uid_col, size_col, hash_col).orderBy("l_size", "l_uid", "r_size", "r_uid").limit(budget)
     text = units.select(F.col(uid_col).alias("u"), F.col(text_col).alias("t"))
     both = pairs.join(text.toDF("l_uid", "l_text"), "l_uid").join(text.toDF("r_uid", "r_text"), "r_uid")
+    both = both.repartition(int(units.sparkSession.conf.get("spark.sql.shuffle.partitions")))  # small rows that take long to compare
 
     @F.pandas_udf("double")
     def similarity(left: pd.Series, right: pd.Series) -> pd.Series:

@@ -399,7 +399,7 @@ def near_dup_clusters(spark, sf_dir):
     text = F.concat_ws(" ", "p_name", "p_brand")
     units = table(spark, sf_dir, "part").groupBy(text.alias("text")).agg(F.min("p_partkey").alias("uid"))
     units = units.select("uid", "text", F.length("text").alias("size"), F.sha1("text").alias("hash"))
-    return corpus.similar_groups(units, "uid", "text", "size", "hash").select("component", F.array_join("members", ",").alias("members"), "n", "similarity")
+    return corpus.similar_groups(units, "uid", "text", "size", "hash", budget=None).select("component", F.array_join("members", ",").alias("members"), "n", "similarity")
 
 
 @query("""

@@ -29,6 +29,31 @@ def test_similar_groups(spark):
     assert corpus.ratio("return " + "ab " * 74, "ab " * 74) < 0.1 < 0.9 < corpus.ratio("return " + "ab " * 74, "ab " * 74, autojunk=False)
 
 
+def test_all_pairs_are_decided(spark):
+    rng = random.Random(3)
+    base = [" ".join(rng.choice("almond azure beige black blue brown coral cream".split()) for _ in range(rng.randrange(1, 16))) for _ in range(60)]
+    texts = sorted({t for b in base for t in (b, b + "s", b[:-1], b[1:] + b[0], "é" + b)})
+    rows = [(k, t, len(t), str(k % 280)) for k, t in enumerate(texts)]
+    units = spark.createDataFrame([*rows, (9999, None, None, None)], "uid int, text string, size int, hash string")
+    order = sorted(rows, key=lambda r: (r[2], r[0]))
+    pairs = [(a, b) for i, a in enumerate(order) for b in order[i + 1 :] if b[2] <= int(a[2] * 1.25) + 8 and a[3] != b[3]]
+    want = {(a[0], b[0]): s for a, b in pairs if (s := SequenceMatcher(None, a[1], b[1]).ratio()) >= 0.9}
+    got = [tuple(r) for r in corpus.similar_pairs(units, "uid", "text", "size", "hash", budget=None).collect()]
+    assert len(want) > 100 and len(got) == len(want) and {(a, b): s for a, b, s in got} == want
+
+
+def test_registered_clusters_have_no_budget(spark, tmp_path):
+    from loomgraph.plans import catalogue
+
+    # 400 short names without a likeness fill the old budget of pairs before the two long ones are met
+    names = [f"{k:03}" + "".join(random.Random(k).sample("abcdefghijklmnopqrstuvwxyz", 9)) for k in range(400)]
+    long = "a far longer name of a part than all the others have, so that it comes last"
+    rows = [(k, n, "b") for k, n in enumerate([*names, long, long + "s"])]
+    spark.createDataFrame(rows, "p_partkey long, p_name string, p_brand string").write.parquet(str(tmp_path / "part.parquet"))
+    got = catalogue.QUERIES["near_dup_clusters"](spark, str(tmp_path)).collect()
+    assert "400,401" in {r.members for r in got}
+
+
 def test_scan(spark):
     docs = spark.createDataFrame([("a.txt", "see /home/me/x and /tmp/y\r\nhttp://localhost:8080/z\n\nC:\\dir"), ("b.txt", "a.home/x\x0b  " + "p" * 200 + " file:///etc/x tail"), ("c.txt", ""), ("d.txt", None)], "path string, text string")
     got = sorted((r.path, r.line, r.rule, r.excerpt) for r in corpus.scan(docs, "path", "text", [*corpus.RULES, *corpus.token_rules(["e/me", " ", "a.b\\E"])]).collect())
