@@ -6,10 +6,12 @@ code length of each byte under each language is a fixed function of it and the
 bytes before it, and a text's code lengths are exact sums over the whole text.
 The shortest code names the language; the score is its share of 2^-length.
 
-Fitting takes a bounded sample, as `SAMPLE` documents a language (first in the
-order of a hash of doc_id) of at most `SAMPLE_BYTES` bytes each, for the
-`LANGUAGES` languages with the most rows; that bounds the trees that are
-broadcast. Held-out rows are never fitted on.
+Every language with a labelled row that has a letter is learned. What is bounded
+is the tree of each: it is fitted on `SAMPLE` documents of the language (first in
+the order of a hash of doc_id, among those whose text has a letter), and of a
+longer document on its first `SAMPLE_BYTES` bytes. Languages are fitted and scored
+`TOGETHER` at a time, each in columns of its own, so what is broadcast grows with
+the number of languages and not with its square. Held-out rows are never fitted on.
 
 Defined results: a null text or one without a letter is `und` with score 0, as
 is all text if there is no labelled row; ties go to the first language by name;
@@ -27,10 +29,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import backoff
-from .common import documents, ship
+from .common import documents, frozen, ship
 
 ORDER = 4
-SAMPLE, SAMPLE_BYTES, LANGUAGES = 250, 32_768, 64
+SAMPLE, SAMPLE_BYTES, TOGETHER = 250, 32_768, 16
 UNKNOWN = "und"
 PAD = b"\n" * ORDER
 
@@ -97,24 +99,36 @@ def code_lengths(model: backoff.Backoff, texts: list[str], chunk: int = 1 << 20)
     return out
 
 
-def sampled(docs: DataFrame, ident: Column, lang: Column, text: Column, n: int, most: int, languages: int) -> list[tuple[str, str]]:
-    light = docs.select(ident.alias("id"), lang.alias("lang")).where("id IS NOT NULL AND lang IS NOT NULL")
-    top = [r[0] for r in light.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()]
+def sampled(docs: DataFrame, ident: Column, lang: Column, text: Column, n: int, most: int) -> DataFrame:
+    """lang and the first bytes of the text of at most n rows a language, in the shared folder."""
+    named = docs.select(ident.alias("id"), lang.alias("lang"), text.alias("text")).where(r"id IS NOT NULL AND lang IS NOT NULL AND text RLIKE '\\p{L}'")
     first = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    ids = light.where(F.col("lang").isin(top)).withColumn("n", F.row_number().over(first)).where(f"n <= {n}").select("id").distinct()
-    rows = docs.select(ident.alias("id"), lang.alias("lang"), text.alias("text")).where(F.col("text").isNotNull() & F.col("lang").isin(top))
-    rows = rows.join(F.broadcast(ids), "id").where(F.octet_length("text") <= most)  # ids: at most n a language
-    return [(r.lang, r.text) for r in rows.orderBy("id").limit(n * languages).collect()]
+    ids = named.select("id", "lang").withColumn("n", F.row_number().over(first)).where(f"n <= {n}").select("id", "lang").distinct()
+    rows = named.join(F.broadcast(ids), ["id", "lang"])  # ids: at most n a language
+    rows = rows.select("id", "lang", F.substring("text", 1, most).alias("text"))  # so many characters; the bytes are cut where they are read
+    again = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id", F.xxhash64("text"), "text")  # repeated rows of an identifier
+    return frozen(rows.withColumn("n", F.row_number().over(again)).where(f"n <= {n}").select("lang", "n", "text"), "language-sample")
 
 
-def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", fold: int = 5, held: int = 0, n: int = SAMPLE, most: int = SAMPLE_BYTES, languages: int = LANGUAGES) -> DataFrame:
+def fit_all(sample: DataFrame, most: int, together: int = TOGETHER) -> list[tuple[list[str], backoff.Backoff]]:
+    """The languages by name, so many together, each time with their model. The driver holds the texts of one group at a time."""
+    names = sorted(r[0] for r in sample.select("lang").distinct().collect())
+    fitted = []
+    for k in range(0, len(names), together):
+        rows = sample.where(F.col("lang").isin(names[k : k + together])).orderBy("lang", "n").collect()
+        fitted.append(fit([(r.lang, r.text.encode()[:most].decode(errors="ignore")) for r in rows]))
+    return fitted
+
+
+def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", fold: int = 5, held: int = 0, n: int = SAMPLE, most: int = SAMPLE_BYTES) -> DataFrame:
     """One row per document: identifier, held_out, lang_pred, score."""
     ship(docs.sparkSession)
     ident = F.col(id_col)
     out = F.coalesce(remainder(ident, fold) == held, F.lit(True))
     learn = docs.where(~out)
-    sample = sampled(learn, ident, F.col(lang_col).cast("string"), F.col(text_col), n, most, languages)
-    shared = docs.sparkSession.sparkContext.broadcast(fit(sample) if sample else None)
+    sample = sampled(learn, ident, F.col(lang_col).cast("string"), F.col(text_col), n, most)
+    shared = [docs.sparkSession.sparkContext.broadcast(x) for x in fit_all(sample, most)]
+    names = [name for x in shared for name in x.value[0]]
     rows = docs.select(ident.alias("id"), out.alias("held_out"), F.col(text_col).alias("text"))
     schema = rows.select("id", "held_out", F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")).schema
 
@@ -126,11 +140,10 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
             for k in range(0, b.num_rows, 500):
                 part = b.slice(k, 500)
                 texts = [t if t is not None and letter.search(t) else None for t in part.column(2).to_pylist()]
-                known = [i for i, t in enumerate(texts) if t is not None and shared.value]
+                known = [i for i, t in enumerate(texts) if t is not None and names]
                 langs, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
                 if known:
-                    names, model = shared.value
-                    bits = code_lengths(model, [texts[i] for i in known])
+                    bits = np.hstack([code_lengths(x.value[1], [texts[i] for i in known]) for x in shared])
                     best = bits.argmin(1)
                     share = 1 / np.exp2(np.clip(bits.min(1, keepdims=True) - bits, -1000, 0)).sum(1)
                     for i, j, p in zip(known, best.tolist(), share.tolist(), strict=True):

@@ -82,6 +82,25 @@ def test_no_labelled_language(docs_of):
     assert {r.lang_pred for r in language.identify(docs_of([(1, "abc", None, "s"), (2, "abc", None, "s")])).collect()} == {"und"}
 
 
+def test_every_labelled_language_is_learned(docs_of):
+    rng = random.Random(4)
+    rows = []
+    for k in range(70):  # more than 64, each with an alphabet of its own
+        letters = [chr(0x4E00 + 20 * k + j) for j in range(20)]
+        rows += [(10 * k + j, " ".join("".join(rng.choices(letters, k=5)) for _ in range(20)), f"l{k:02}", "s") for j in range(8 + (k > 5))]
+    got = {r.doc_id: r.lang_pred for r in language.identify(docs_of(rows)).collect()}
+    assert {k for k, _, lang, _ in rows if got[k] != lang} == set()
+
+
+def test_long_and_null_texts_hide_no_language(docs_of):
+    rows = [(k, "der hund und die katze " * 2000, "de", "s") for k in range(6)]
+    rows += [(100 + k, "the cat sat on the mat", "en", "s") for k in range(6)]
+    rows += [(200 + k, None if k % 20 else "le chat est sur la table", "fr", "s") for k in range(200)]
+    got = language.identify(docs_of(rows), n=2).collect()
+    truth = {r[0]: r[2] if r[1] else "und" for r in rows}
+    assert {r.doc_id for r in got if r.lang_pred != truth[r.doc_id]} == set()
+
+
 def test_toxicity_held_out(spark, docs_of, empty_docs):
     rows, labels = corpus(600)
     rows += [(9000, None, None, None), (9001, "", "en", "s"), (None, "the of nastyword", "en", "s")]
