@@ -8,12 +8,14 @@ words of all documents, labelled or not, so that what neither class has seen
 says the same under both. A document's distinct words are scored, each from its
 start, and the two log-likelihoods are compared per symbol. A logistic curve
 over that difference and the number of symbols (noise shrinks with its root),
-fitted on labelled rows that no count came from, makes it a probability.
+fitted on labelled rows that no count came from, makes it a probability. A fifth
+of each class is held back for it; with few rows of a class it is cross-fitted
+over all of them, and with fewer than `FEW` a fixed prior takes its place.
 
 Labels are learned only from rows with crc32(doc_id) mod 4 other than 2. The
 labelled sample is bounded: `SAMPLE` documents a class for the counts and
-as many for the curve, first in the order of a hash of doc_id, of at most
-`SAMPLE_BYTES` bytes each; so is the model, by the sample's size and 65,536
+as many for the curve, first in the order of a hash of doc_id among those with a
+text, and of each the first `SAMPLE_BYTES` characters; so is the model, by the sample's size and 65,536
 shared grams, and it alone is broadcast. The shared counts cover all documents.
 
 Defined results: null and empty texts get the score of a text with no evidence;
@@ -42,6 +44,10 @@ LONGEST, SHARED = 5, 2
 SAMPLE, SAMPLE_BYTES = 8000, 131_072
 THRESHOLD = 0.3
 MEMORY = 300_000
+#: With fewer labelled rows of a class than CROSS the curve is cross-fitted over FOLDS parts, with fewer than FEW there is
+#: none, and SYMBOLS symbols of evidence stand against the prior.
+CROSS, FOLDS, FEW = 500, 5, 8
+PRIOR, SYMBOLS = 0.1, 20
 _PAD = b" " * (LONGEST - 1)
 _EDGE = b".,!?;:|\"'()#*$%&<>"
 _RUN = re.compile(r"\S+")
@@ -126,6 +132,11 @@ def probability(fitted, x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(np.column_stack([(evidence(x) - mu) / sd, np.ones(len(x))]) @ b, -30, 30)))
 
 
+def prior_score(x: np.ndarray) -> np.ndarray:
+    """For too few labels for a curve: the bits a symbol for `toxic`, as those of `SYMBOLS` symbols, against a fixed prior."""
+    return 1 / (1 + np.exp(-np.clip(np.log(PRIOR / (1 - PRIOR)) + np.log(2) * SYMBOLS * x[:, 0], -30, 30)))
+
+
 def shared_counts(docs: DataFrame, text_col: str) -> tuple[np.ndarray, np.ndarray]:
     """Grams of SHARED = 2 bytes and in how many places of a document's distinct words, summed over all documents."""
 
@@ -145,44 +156,64 @@ def shared_counts(docs: DataFrame, text_col: str) -> tuple[np.ndarray, np.ndarra
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, fold: int, held: int, n: int, most: int):
-    """The model and its curve, or the share of toxic labels."""
+    """The model and its curve (None: `prior_score`), or no model and the share of toxic labels."""
     marks = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where("id IS NOT NULL AND y IS NOT NULL")
     marks = marks.groupBy("id").agg(F.max("y").alias("y")).where(remainder(F.col("id"), fold) != held)
     share = marks.agg(F.avg("y")).first()[0] or 0.0
-    marks = marks.withColumn("fits", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(10)) < 8)
-    first = Window.partitionBy("y", "fits").orderBy(F.xxhash64("id"), "id")
-    ids = marks.withColumn("k", F.row_number().over(first)).where(f"k <= {n}").select("id", "y", "fits")
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(ids), "id")  # at most 4 n ids
-    rows = frozen(rows.where(F.col("text").isNotNull() & (F.octet_length("text") <= most)), "toxic-sample")
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.octet_length("text") > 0)
+    first = Window.partitionBy("y").orderBy(F.xxhash64("id"), "id")
+    ids = marks.join(texts.select("id"), "id", "left_semi").withColumn("k", F.row_number().over(first)).where(f"k <= {2 * n}")
+    # of each class a fifth for the curve, and all beyond the n that the counts take
+    ids = ids.select("id", "y", ((F.col("k") % 5 != 2) & (F.col("k") <= n + n // 4)).alias("fits"), (F.col("k") % FOLDS).alias("part"))
+    rows = texts.join(F.broadcast(ids), "id")  # at most 4 n ids
+    rows = frozen(rows.withColumn("text", F.substring("text", 1, most)), "toxic-sample")
+    n_of = {r.y: r.n for r in rows.groupBy("y").agg(F.count_distinct("id").alias("n")).collect()}
+    if not n_of.get(1) or not n_of.get(0):
+        return None, share
+    cross = min(n_of.values()) < CROSS  # few rows of a class: each serves counts and curve in turn
+    rows = rows.withColumn("part", F.col("part") if cross else F.when(F.col("fits"), 1).otherwise(0))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for y in (0, 1):
-                texts = [t for t, k in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if k == y]
-                words = [w for t in texts for w in all_words(t)]
+            found = list(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True))
+            for y, part in sorted({(k, p) for _, k, p in found}):
+                words = [w for t, k, p in found if (k, p) == (y, part) for w in all_words(t)]
                 if words:
                     g, c = np.unique(grams_of(words, LONGEST), return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array([y] * len(g), pa.int32()), pa.array(g.astype(np.int64)), pa.array(c.astype(np.int64))], ["y", "g", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.array([y] * len(g), pa.int32()), pa.array([part] * len(g), pa.int32()), pa.array(g.astype(np.int64)), pa.array(c.astype(np.int64))], ["y", "part", "g", "n"])
 
-    got = rows.where("fits").select("text", "y").mapInArrow(count, "y int, g long, n long").groupBy("y", "g").agg(F.sum("n").alias("n")).toArrow()
-    y, g, c = (got.column(k).to_numpy() for k in ("y", "g", "n"))
+    counted = rows if cross else rows.where("fits")
+    got = counted.select("text", "y", F.col("part").cast("int")).mapInArrow(count, "y int, part int, g long, n long").groupBy("y", "part", "g").agg(F.sum("n").alias("n")).toArrow()
+    y, part, g, c = (got.column(k).to_numpy() for k in ("y", "part", "g", "n"))
     if not (y == 1).any() or not (y == 0).any():
         return None, share
     counts = np.zeros((len(g), 2), np.int64)
     counts[y == 1, 0], counts[y == 0, 1] = c[y == 1], c[y == 0]
-    model = make_model(g.astype(np.uint64), counts, shared_counts(docs, text_col))
-    sent = docs.sparkSession.sparkContext.broadcast(model)
-
-    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(sent.value)
-        for b in batches:
-            x = scorer(b.column(0).to_pylist())
-            yield pa.RecordBatch.from_arrays([b.column(1), pa.array(x[:, 0]), pa.array(x[:, 1])], ["y", "mean", "n"])
-
-    rest = rows.where("NOT fits").select("text", "y").mapInArrow(measure, "y int, mean double, n double").toArrow()
-    y, x = rest.column("y").to_numpy(), np.column_stack([rest.column("mean").to_numpy(), rest.column("n").to_numpy()])
-    if not (y == 1).any() or not (y == 0).any():
-        return None, share
+    shared = shared_counts(docs, text_col)
+    sc = docs.sparkSession.sparkContext
+    sent = sc.broadcast(make_model(g.astype(np.uint64), counts, shared))
+
+    def measured(held_back: DataFrame, model) -> tuple[np.ndarray, np.ndarray]:
+        def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            scorer = Scorer(model.value)
+            for b in batches:
+                x = scorer(b.column(0).to_pylist())
+                yield pa.RecordBatch.from_arrays([b.column(1), pa.array(x[:, 0]), pa.array(x[:, 1])], ["y", "mean", "n"])
+
+        rest = held_back.select("text", "y").mapInArrow(measure, "y int, mean double, n double").toArrow()
+        return rest.column("y").to_numpy(), np.column_stack([rest.column("mean").to_numpy(), rest.column("n").to_numpy()])
+
+    if not cross:
+        y, x = measured(rows.where("NOT fits"), sent)
+    elif min(n_of.values()) < FEW:
+        return sent, None
+    else:
+        parts = []
+        for k in range(FOLDS):
+            model = sc.broadcast(make_model(g[part != k].astype(np.uint64), counts[part != k], shared))
+            parts.append(measured(rows.where(F.col("part") == k), model))
+            model.unpersist()
+        y, x = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
     order = np.lexsort((x[:, 1], x[:, 0], y))
     x, y = x[order], y[order]
     weight = np.where(y == 1, share / (y == 1).mean(), (1 - share) / (y == 0).mean())
@@ -205,7 +236,10 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
             for k in range(0, b.num_rows, 500):
                 part = b.slice(k, 500)
                 texts = [t or "" for t in part.column(at).to_pylist()]
-                p = probability(fitted, scorer(texts)) if scorer else np.full(len(texts), fitted)
+                if scorer:
+                    p = prior_score(scorer(texts)) if fitted is None else probability(fitted, scorer(texts))
+                else:
+                    p = np.full(len(texts), fitted)
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(kept)], pa.array(p, pa.float64())], names=[*kept, "__lg_score"])
 
     scored = rows.mapInArrow(score, schema)

@@ -4,6 +4,7 @@ from collections import Counter
 
 import numpy as np
 from loomgraph.llm import backoff, language, toxicity
+from pyspark.sql import functions as F
 
 
 def brute_ppm(train: bytes, text: bytes, order: int) -> float:
@@ -118,6 +119,26 @@ def test_toxicity_held_out(spark, docs_of, empty_docs):
     assert {r.score for r in none} == {0.0}
 
 
+def test_few_toxic_labels_give_no_constant(spark, docs_of):
+    rows, labels = corpus(240)
+    learnable = {r.id for r in spark.range(240).where(toxicity.remainder(F.col("id"), 4) != 2).collect()}
+    truth = dict(labels)
+    for few in (1, 2, 5, 12):
+        toxic = [k for k, y in labels if y and k in learnable][:few]
+        marks = spark.createDataFrame([(k, y) for k, y in labels if not y or k in toxic], "doc_id long, toxic int")
+        got = toxicity.toxicity(docs_of(rows), marks).collect()
+        score = {y: [r.score for r in got if truth[r.doc_id] == y and r.doc_id not in toxic] for y in (0, 1)}
+        assert len({r.score for r in got}) > 100 and np.median(score[1]) > np.median(score[0])
+        assert all(0 <= r.score <= 1 for r in got)
+
+
+def test_long_toxic_labels_are_learned(spark, docs_of):
+    rows, labels = corpus(120)
+    rows = [(k, t + " nastyword" * 30 if y else t, lang, s) for (k, t, lang, s), (_, y) in zip(rows, labels)]
+    marks = spark.createDataFrame(labels, "doc_id long, toxic int")
+    assert len({r.score for r in toxicity.toxicity(docs_of(rows), marks, most=500).collect()}) > 60
+
+
 def test_kneser_ney_sums_to_one():
     grams = np.array(sorted({int.from_bytes(b"ab" + bytes([c]), "big") for c in b"abc"}), np.uint64)
     counts = np.array([[3, 1], [2, 1], [1, 0]])
