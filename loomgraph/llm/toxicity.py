@@ -15,8 +15,10 @@ over all of them, and with fewer than `FEW` a fixed prior takes its place.
 Labels are learned only from rows with crc32(doc_id) mod 4 other than 2. The
 labelled sample is bounded: `SAMPLE` documents a class for the counts and
 as many for the curve, first in the order of a hash of doc_id among those with a
-text, and of each the first `SAMPLE_BYTES` characters; so is the model, by the sample's size and 65,536
-shared grams, and it alone is broadcast. The shared counts cover all documents.
+text, and of each the first `SAMPLE_BYTES` characters. The shared counts cover
+all documents and are added up by a distributed aggregation; the table of shared
+grams has no limit, grows with the different grams of the corpus, and is
+broadcast with the model (it is not sharded).
 
 Defined results: null and empty texts get the score of a text with no evidence;
 a null doc_id is held out; of repeated labels of a doc_id the highest counts, a
@@ -29,6 +31,7 @@ give empty results; other columns are not read by `toxicity` and pass through
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,7 +43,7 @@ from . import backoff
 from .common import documents, frozen, ship
 from .language import remainder
 
-LONGEST, SHARED = 5, 2
+LONGEST, SHARED = 5, 4
 SAMPLE, SAMPLE_BYTES = 8000, 131_072
 THRESHOLD = 0.3
 MEMORY = 300_000
@@ -138,20 +141,27 @@ def prior_score(x: np.ndarray) -> np.ndarray:
 
 
 def shared_counts(docs: DataFrame, text_col: str) -> tuple[np.ndarray, np.ndarray]:
-    """Grams of SHARED = 2 bytes and in how many places of a document's distinct words, summed over all documents."""
+    """Grams of SHARED bytes and in how many places of a document's distinct words, summed over all documents."""
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = np.zeros(65_536, np.int64)
+        seen: Counter[bytes] = Counter()
+
+        def flushed() -> pa.RecordBatch:
+            stream, at, sizes = stream_of(list(seen))
+            g, n = backoff._group(backoff.codes(stream, SHARED)[SHARED][at], np.repeat(np.fromiter(seen.values(), np.int64, len(seen)), sizes))
+            seen.clear()
+            return pa.RecordBatch.from_arrays([pa.array(g.astype(np.int64)), pa.array(n)], ["g", "n"])
+
         for b in batches:
-            for k in range(0, b.num_rows, 500):
-                words = [w for t in b.column(0).slice(k, 500).to_pylist() for w in distinct_words(t)]
-                line = np.frombuffer(b" " + b" ".join(words) + b" ", np.uint8)
-                found += np.bincount(line[:-1].astype(np.int64) << 8 | line[1:], minlength=65_536)
-        some = np.flatnonzero(found)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(found[some])], ["g", "n"])
-
-    seen = docs.select(F.col(text_col).alias("t")).where("t IS NOT NULL").mapInArrow(grams, "g long, n long")
-    rows = seen.groupBy("g").agg(F.sum("n").alias("n")).toArrow()  # 65,536 rows at most
+            for t in b.column(0).to_pylist():
+                seen.update(distinct_words(t))
+                if len(seen) > MEMORY:
+                    yield flushed()
+        if seen:
+            yield flushed()
+
+    words = docs.select(F.col(text_col).alias("t")).where("t IS NOT NULL").mapInArrow(grams, "g long, n long")
+    rows = words.groupBy("g").agg(F.sum("n").alias("n")).toArrow()
     return rows.column("g").to_numpy().astype(np.uint64), rows.column("n").to_numpy()
 
 

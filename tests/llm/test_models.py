@@ -139,6 +139,17 @@ def test_long_toxic_labels_are_learned(spark, docs_of):
     assert len({r.score for r in toxicity.toxicity(docs_of(rows), marks, most=500).collect()}) > 60
 
 
+def test_shared_counts_have_four_bytes_of_all_documents(docs_of):
+    texts = ["The rareword, the cat", "rareword dog", "", None, "the the the"]
+    want = Counter()
+    for t in texts:
+        for w in toxicity.distinct_words(t or ""):
+            padded = b" " * 4 + w + b" "
+            want.update(int.from_bytes(padded[i - 3 : i + 1], "big") for i in range(4, len(padded)))
+    g, n = toxicity.shared_counts(docs_of([(k, t, None, "s") for k, t in enumerate(texts)]), "text")
+    assert dict(zip(g.tolist(), n.tolist(), strict=True)) == want
+
+
 def test_kneser_ney_sums_to_one():
     grams = np.array(sorted({int.from_bytes(b"ab" + bytes([c]), "big") for c in b"abc"}), np.uint64)
     counts = np.array([[3, 1], [2, 1], [1, 0]])
