@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,17 +24,19 @@ def walks(edges: DataFrame, a: str, b: str, least: int, most: int) -> DataFrame:
     return out
 
 
-def shortest_paths(edges: DataFrame, a: str, b: str, most: int = 50) -> DataFrame:
+def shortest_paths(edges: DataFrame, a: str, b: str, most: int | None = None) -> DataFrame:
     """a, b, hops of the shortest path between each two different connected nodes: breadth first from all of them.
-    Stops when a round finds nothing new."""
+    Stops when a round finds nothing new. most: raises if there are paths of more hops."""
     e = edges.select(F.col(a).alias("x"), F.col(b).alias("y")).distinct()
     seen = e.where("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b"), F.lit(1).alias("hops")).checkpoint() if _checkpointed(edges) else None
     level = seen
-    for hops in range(2, most + 1):
+    for hops in count(2):
         new = level.join(e, F.col("b") == F.col("x")).select("a", F.col("y").alias("b")).where("a <> b").distinct()
         level = new.join(seen, ["a", "b"], "left_anti").withColumn("hops", F.lit(hops)).checkpoint()
         if level.isEmpty():
             break
+        if most is not None and hops > most:
+            raise RuntimeError(f"there are paths of more than {most} hops")
         seen = seen.unionAll(level)
     return seen
 

@@ -118,3 +118,10 @@ def test_walks(spark):
     e = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (3, 4)], "a long, b long")
     assert sorted(map(tuple, walks(e, "a", "b", 2, 2).collect())) == [(1, 3, 2), (2, 1, 2), (2, 4, 2), (3, 2, 2)]
     assert dict(((r.a, r.b), r.hops) for r in shortest_paths(e, "a", "b").collect())[(1, 4)] == 3
+
+
+def test_shortest_paths_are_never_cut_silently(spark):
+    e = spark.createDataFrame([(k, k + 1) for k in range(4)], "a int, b int")
+    assert {(r.a, r.b): r.hops for r in shortest_paths(e, "a", "b", most=4).collect()} == {(a, b): b - a for a in range(5) for b in range(a + 1, 5)}
+    with pytest.raises(RuntimeError):
+        shortest_paths(e, "a", "b", most=2)
