@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.shipping import ship
 
-__all__ = ["ASCII_SPACE", "ascii_lower", "documents", "frozen", "frozen_by", "scratch_path", "shared_root", "ship", "word_count"]
+__all__ = ["ASCII_SPACE", "ascii_lower", "documents", "frozen", "frozen_by", "positional", "row_key", "scratch_path", "shared_root", "ship", "word_count"]
 
 #: The ASCII white space of the word rule: space and 0x09 to 0x0D.
 ASCII_SPACE = " \t\n\x0b\x0c\r"
@@ -80,6 +80,25 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def positional(docs: DataFrame, *names: str) -> tuple:
+    """docs with columns c0, c1, ..., and which of these the given names are. Whatever the input's columns are called
+    (dots, names of one's own, names that differ in case only), nothing clashes. A name fits exactly, or else but for case."""
+    own = docs.columns
+
+    def place(name: str) -> int:
+        fits = [i for i, c in enumerate(own) if c == name] or [i for i, c in enumerate(own) if c.lower() == name.lower()]
+        if len(fits) != 1:
+            raise ValueError(f"{len(fits)} columns are called {name!r} among {own}")
+        return fits[0]
+
+    return docs.toDF(*[f"c{i}" for i in range(len(own))]), *[f"c{place(n)}" for n in names]
+
+
+def row_key(ident: Column, *rest: Column) -> Column:
+    """A string that tells rows apart by identifier (null is none of the others) and what else is given."""
+    return F.concat_ws("|", F.coalesce(F.concat(F.lit("i"), ident.cast("string")), F.lit("n")), *rest)
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z in lower case, all else as it is. Pure ASCII texts take the faster lower()."""
     return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(
