@@ -22,6 +22,11 @@ exactly, and what joins components goes on. Nodes above LIMIT are compared in
 blocks, none dropped. Every link is confirmed on the full sets, made again from
 the whole texts. Components come from alternating large-star and small-star steps.
 
+A document that many are held against meets them in blocks of about BLOCK, and
+its row travels once a block. Sets that are compared exactly come together by
+SHINGLES shingles at most, or as one pair of longer ones. Repeated rows have one
+text between them.
+
 No step emits a node's pairs: each emits a row a member or component. Copies are
 members of a class and never expanded.
 
@@ -30,7 +35,8 @@ or one without words has an empty set, links with nothing and is its own
 component; a null identifier takes part, and is a component's name only if no
 member has an identifier; repeated rows are members of one class; an empty table
 gives an empty result; other columns are not read by `near_duplicates` and pass
-through `keep_one` untouched.
+through `keep_one` untouched, whatever their names. Of rows with the same
+identifier and text `keep_one` keeps any one.
 """
 
 from __future__ import annotations
@@ -40,10 +46,10 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, frozen, frozen_by, ship
+from .common import ASCII_SPACE, documents, frozen, frozen_by, positional, row_key, ship
 from .exact_dedup import climb, descend
 
 WORDS, PERCENT = 5, 75
@@ -52,6 +58,7 @@ CUTOFF = 0.62
 COARSE, COARSE_CUTOFF = 64, 0.48  # the first coordinates alone, to find members without any candidate
 PASSES = 2  # against one member each, before large nodes branch
 MEMORY = 400_000
+BLOCK, SHINGLES = 1000, 1 << 23
 SEED = 20_240_607
 
 _rng = np.random.default_rng(SEED)
@@ -110,14 +117,15 @@ def minwise(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def row_key(ident: Column, text: Column) -> Column:
-    return F.concat_ws("|", F.coalesce(ident.cast("string"), F.lit("null")), F.hex(F.xxhash64(text)), F.octet_length(text))
+def key_of(ident: Column, text: Column) -> Column:
+    return row_key(ident, F.hex(F.xxhash64(text)), F.octet_length(text))
 
 
 def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """rid, id, key, n, set (digest), roots (a token a tree), sketch: a row a document."""
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
-    rows = rows.select("id", row_key(F.col("id"), F.col("text")).alias("key"), "text")
+    docs, ident, text = positional(docs, id_col, text_col)
+    rows = docs.select(F.col(ident).alias("id"), F.coalesce(text, F.lit("")).alias("text"))
+    rows = rows.select("id", key_of(F.col("id"), F.col("text")).alias("key"), "text")
     schema = rows.select("id", "key", F.lit(0).cast("long").alias("n"), F.lit(b"").alias("set"), F.array(F.lit(0).cast("long")).alias("roots"), F.lit(b"").alias("sketch")).schema
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,7 +156,8 @@ def roots(reps: DataFrame) -> DataFrame:
 
 
 def several(level: DataFrame) -> DataFrame:
-    return level.join(level.groupBy("node").agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").select("node"), "node")
+    # the nodes are frozen, so that a large node's members are not tied to the task that counted them
+    return level.join(frozen(level.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("node"), "nodes"), "node")
 
 
 def apart(nodes: DataFrame, comps: DataFrame) -> DataFrame:
@@ -156,14 +165,13 @@ def apart(nodes: DataFrame, comps: DataFrame) -> DataFrame:
     held = nodes.join(comps, "rid", "left").withColumn("comp", F.coalesce("comp", "rid"))
     by = held.groupBy("node", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("node").agg(F.sum("c").alias("size"), F.max(F.struct("c", "comp")).alias("top"))
     by = by.select("node", "size", F.col("top.comp").alias("major"), (F.col("size") - F.col("top.c")).alias("minor")).where("minor > 0")
-    return held.join(by, "node")
+    return held.join(frozen(by, "apart"), "node")
 
 
-def branched(nodes: DataFrame, reps: DataFrame, comps: DataFrame) -> DataFrame:
-    """node, rid, tree: the nodes of several components in which the trees end."""
-    found, level = None, nodes
+def branched(held: DataFrame, reps: DataFrame, comps: DataFrame) -> DataFrame:
+    """node, rid, tree: the nodes of several components in which the trees end. held: apart() of the roots."""
+    found = None
     for depth in range(DEPTH + 1):
-        held = frozen(apart(level, comps), f"level-{depth}")
         big = (F.col("minor") > LIMIT) & F.lit(depth < DEPTH)
         ends = held.where(~big).select("node", "rid", "tree")
         found = ends if found is None else found.unionByName(ends)
@@ -173,7 +181,8 @@ def branched(nodes: DataFrame, reps: DataFrame, comps: DataFrame) -> DataFrame:
         grow = grow.join(reps.select("rid", "sketch"), "rid").withColumn("branch", F.explode(F.array(*[F.lit(b) for b in range(BRANCHES)])))
         at = TREES + F.pmod(F.col("tree") * 13 + F.lit(depth * 7 * BRANCHES) + F.col("branch") * 7, F.lit(COORDINATES - TREES))
         token = F.substring(F.hex("sketch"), 2 * at + 1, F.lit(2))
-        level = several(grow.select(F.xxhash64("node", "branch", token).alias("node"), "rid", "tree"))
+        level = several(frozen(grow.select(F.xxhash64("node", "branch", token).alias("node"), "rid", "tree"), "branches"))
+        held = frozen(apart(level, comps), f"level-{depth}")
     return found
 
 
@@ -188,20 +197,34 @@ def agreement(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return ((lanes & np.uint64(0x00FF00FF00FF00FF)) + ((lanes >> np.uint64(8)) & np.uint64(0x00FF00FF00FF00FF))) * np.uint64(0x0001000100010001) >> np.uint64(48)
 
 
+def gathered(pairs: DataFrame, table: DataFrame, columns: list[str]) -> DataFrame:
+    """a, block, b and columns of table: for each block of a's partners a's own row (b = -1), then theirs, in one task."""
+    pairs = frozen(pairs.select("a", "b"), "pairs")
+    hubs = frozen(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BLOCK).select("a", F.ceil(F.col("n") / BLOCK).alias("blocks")), "hubs")
+    dealt = pairs.join(hubs, "a", "left").select("a", F.coalesce(F.pmod(F.xxhash64("b"), "blocks"), F.lit(0)).alias("block"), "b")
+    own = dealt.select("a", "block").distinct().join(table.select(F.col("rid").alias("a"), *columns), "a")
+    rest = dealt.join(table.select(F.col("rid").alias("b"), *columns), "b")
+    both = own.select("a", "block", F.lit(-1).cast("long").alias("b"), *columns).unionByName(rest.select("a", "block", "b", *columns))
+    return both.repartition("a", "block").sortWithinPartitions("a", "block", "b")
+
+
 def against_one(pairs: DataFrame, reps: DataFrame) -> DataFrame:
-    """The distinct pairs (a, b) whose sizes and sketches allow the link."""
-    of = lambda c: reps.select(F.col("rid").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"sketch_{c}"))
-    near = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * PERCENT
-    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
-    pairs = pairs.join(of("a"), "a").join(of("b"), "b").where(near).select("a", "b", "sketch_a", "sketch_b")
+    """The distinct pairs (a, b) whose sizes and sketches allow the link; a is what many are held against."""
+    rows = gathered(pairs.select("a", "b").where("a <> b").distinct(), reps, ["n", "sketch"])
 
     def allow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                alike = agreement(_bytes(b.column(2)), _bytes(b.column(3)))
-                yield b.select([0, 1]).filter(pa.array(alike >= CUTOFF * COORDINATES))
+        size, sketch = np.zeros(1, np.int64), np.zeros((1, COORDINATES), np.uint8)  # of the last a
+        for rows in batches:
+            if rows.num_rows:
+                b, n, own = rows.column(2).to_numpy(), rows.column(3).to_numpy(), _bytes(rows.column(4))
+                first = np.flatnonzero(b < 0)
+                size, sketch = np.concatenate([size, n[first]]), np.concatenate([sketch, own[first]])
+                at = np.searchsorted(first, np.arange(len(b)), "right")
+                near = np.minimum(n, size[at]) * 100 >= np.maximum(n, size[at]) * PERCENT
+                yield rows.select([0, 2]).filter(pa.array((b >= 0) & near & (agreement(own, sketch[at]) >= CUTOFF * COORDINATES)))
+                size, sketch = size[-1:], sketch[-1:]
 
-    return pairs.mapInArrow(allow, "a long, b long")
+    return rows.mapInArrow(allow, "a long, b long")
 
 
 def doubtful(rid, comp, n, sketch, cross) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -312,9 +335,8 @@ def _in_groups(batches: Iterator[pa.RecordBatch], columns: list[str], rows) -> I
 GROUP = ["node", "one", "two", "block", "rid", "comp"]
 
 
-def in_nodes(nodes: DataFrame, comps: DataFrame) -> DataFrame:
-    """The members of nodes of several components, in the groups in which they are compared (node, one, two)."""
-    held = apart(nodes, comps)
+def in_nodes(held: DataFrame) -> DataFrame:
+    """The members of nodes of several components (what apart() gives), in the groups in which they are compared (node, one, two)."""
     # Up to LIMIT members outside the largest component go to every block of it; else blocks meet in pairs.
     blocks = F.ceil(F.col("size") / LIMIT)
     few = (F.col("minor") <= LIMIT) & (blocks > 1)
@@ -388,9 +410,16 @@ def fine_sets(texts: DataFrame) -> DataFrame:
     return texts.select("rid", "text").mapInArrow(make, "rid long, fine binary")
 
 
-def joining_pairs(members: DataFrame, fine: DataFrame) -> DataFrame:
-    """a, b: in each group, pairs with enough in common, as many as join its components."""
-    rows = members.join(fine, "rid")
+def joining_pairs(members: DataFrame, fine: DataFrame, reps: DataFrame, most: int = SHINGLES) -> DataFrame:
+    """a, b: in each group, pairs with enough in common, as many as join its components. A group with more than `most`
+    shingles is dealt into parts, each two of which meet; so is memory bounded by bytes."""
+    sizes = members.join(reps.select("rid", "n"), "rid").groupBy("node", "one", "two").agg(F.ceil(F.sum("n") * 2 / most).alias("parts"))
+    members = members.join(frozen(sizes.where("parts > 1"), "sizes"), ["node", "one", "two"], "left")
+    part = F.pmod(F.xxhash64("rid", F.lit("part")), "parts")
+    other = F.when(F.col("parts").isNull(), F.array(F.lit(0).cast("long"))).otherwise(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
+    members = members.withColumn("part", F.coalesce(part, F.lit(0))).withColumn("other", F.explode(other))
+    whole = F.when(F.col("parts").isNull(), F.col("node")).otherwise(F.xxhash64("node", F.least("part", "other"), F.greatest("part", "other")))
+    rows = members.select(whole.alias("node"), "one", "two", "rid", "comp").join(fine, "rid")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def pairs(t: pa.Table) -> list[tuple[int, int]]:
@@ -406,28 +435,22 @@ def joining_pairs(members: DataFrame, fine: DataFrame) -> DataFrame:
 
 def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """a, b, linked: the exact similarity of each pair's full sets against the threshold."""
-    of = lambda c: texts.select(F.col("rid").alias(c), F.col("text").alias(f"text_{c}"))
-    both = pairs.join(of("b"), "b").join(of("a"), "a").select("a", "b", "text_a", "text_b")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingle, sets = Shingler(), {}
-
-        def of(rid: int, text: str) -> np.ndarray:
-            if rid not in sets:
-                if len(sets) > 1000:
-                    sets.clear()
-                sets[rid] = shingle(text)
-            return sets[rid]
-
+        shingle, own = Shingler(), np.empty(0, np.uint64)
         for rows in batches:
-            linked = []
-            for a, b, x, y in zip(*(rows.column(k).to_pylist() for k in range(4)), strict=True):
-                own, other = of(a, x), of(b, y)
+            out: tuple[list, list, list] = [], [], []
+            for a, b, text in zip(rows.column(0).to_pylist(), rows.column(2).to_pylist(), rows.column(3), strict=True):
+                other = shingle(text.as_py())
+                if b < 0:
+                    own = other
+                    continue
                 shared = len(np.intersect1d(own, other, assume_unique=True))
-                linked.append(100 * shared >= PERCENT * (len(own) + len(other) - shared))
-            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(linked, pa.bool_())], ["a", "b", "linked"])
+                for c, x in zip(out, (min(a, b), max(a, b), 100 * shared >= PERCENT * (len(own) + len(other) - shared)), strict=True):
+                    c.append(x)
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.bool_())], ["a", "b", "linked"])
 
-    return both.mapInArrow(check, "a long, b long, linked boolean")
+    return gathered(pairs, texts, ["text"]).mapInArrow(check, "a long, b long, linked boolean")
 
 
 def components(links: DataFrame, most: int = 60) -> DataFrame:
@@ -460,34 +483,47 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     reps = frozen_by(rows.join(best.select("rid"), "rid", "left_semi").select("rid", "key", "n", "roots", "sketch"), "representatives", "rid")
     nodes = frozen(roots(reps), "roots")
     near = nodes.select("rid").distinct().join(reps.select("rid", "key"), "rid")
-    whole = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
-    texts = frozen_by(whole.select(row_key(F.col("id"), F.col("text")).alias("key"), "text").join(near, "key").select("rid", "text"), "texts", "rid")
-    first_of = nodes.groupBy("node").agg(F.min("rid").alias("a"))
-    tried = frozen(confirmed(against_one(nodes.join(first_of, "node").select("a", F.col("rid").alias("b")), reps), texts), "tried")
-    comps = components(tried.where("linked"))
+    whole, ident, text = positional(docs, id_col, text_col)
+    whole = whole.select(F.col(ident).alias("id"), F.coalesce(text, F.lit("")).alias("text"))
+    whole = whole.select(key_of(F.col("id"), F.col("text")).alias("key"), "text").dropDuplicates(["key"])  # repeated rows: one text
+    texts = frozen_by(whole.join(near, "key").select("rid", "text"), "texts", "rid")
+    first_of = frozen(nodes.groupBy("node").agg(F.min("rid").alias("a")), "firsts")
+    tried = [frozen(confirmed(against_one(nodes.join(first_of, "node").select("a", F.col("rid").alias("b")), reps), texts), "tried")]
+    comps = components(tried[0].where("linked"))
 
     def learn(pairs: DataFrame) -> bool:
-        nonlocal tried, comps
+        """Whether the pairs, those not tried yet, changed the components."""
+        nonlocal comps
+        pairs = pairs.select("a", "b", F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high"))
+        for t in tried:
+            pairs = pairs.join(t.select(F.col("a").alias("low"), F.col("b").alias("high")), ["low", "high"], "left_anti")
         new = frozen(confirmed(pairs, texts), "new")
-        tried = frozen(tried.unionByName(new), "tried")
+        tried.append(new)
         if new.where("linked").isEmpty():
             return False
-        comps = components(tried.where("linked"))
+        links = tried[0].where("linked")
+        for t in tried[1:]:
+            links = links.unionByName(t.where("linked"))
+        comps = components(links)
         return True
 
+    held = frozen(apart(nodes, comps), "level")
     for k in range(1, PASSES):
-        crowded = frozen(apart(nodes, comps).where(F.col("minor") > LIMIT), "crowded")
+        crowded = held.where(F.col("minor") > LIMIT)
         if crowded.isEmpty():
             break
         some = crowded.where("comp = major").groupBy("node").agg(F.min(F.struct(F.xxhash64("rid", "node", F.lit(k)), "rid"))["rid"].alias("a"))
-        meet = against_one(crowded.where("comp <> major").join(some, "node").select("a", F.col("rid").alias("b")), reps)
-        learn(meet.join(tried.select("a", "b"), ["a", "b"], "left_anti"))
-    ends = frozen(branched(nodes, reps, comps), "trees")
-    coarse = frozen(active(with_sketch(in_nodes(ends, comps), reps, COARSE)), "coarse")
-    learn(best_pairs(with_sketch(coarse, reps)).join(tried.select("a", "b"), ["a", "b"], "left_anti"))
-    members = frozen(active(with_sketch(renamed(coarse, comps), reps)), "active")
-    fine = frozen(fine_sets(texts.join(members.select("rid").distinct(), "rid")), "fine")
-    learn(joining_pairs(members, fine))
+        if learn(against_one(crowded.where("comp <> major").join(frozen(some, "some"), "node").select("a", F.col("rid").alias("b")), reps)):
+            held = frozen(apart(nodes, comps), "level")
+    if not held.where(F.col("minor") > LIMIT).isEmpty():
+        held = frozen(apart(branched(held, reps, comps), comps), "trees")
+    coarse = frozen(active(with_sketch(in_nodes(held), reps, COARSE)), "coarse")
+    if not coarse.isEmpty():
+        learn(best_pairs(with_sketch(coarse, reps)))
+        members = frozen(active(with_sketch(renamed(coarse, comps), reps)), "active")
+        if not members.isEmpty():
+            fine = frozen(fine_sets(texts.join(members.select("rid").distinct(), "rid")), "fine")
+            learn(joining_pairs(members, fine, reps))
     best = best.join(comps, "rid", "left").withColumn("comp", F.coalesce("comp", "rid"))
     least = F.min(F.struct(F.col("top_id").isNull().alias("none"), F.col("top_id").alias("id"), "rid"))
     name = best.groupBy("comp").agg(least.alias("least"))
@@ -505,10 +541,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One document of each component, and all documents without words, with all their columns."""
-    stay = linked(docs, id_col, text_col).where("rid = c_rid").groupBy(F.col("key").alias("__lg_key")).agg(F.max(F.col("n") == 0).alias("__lg_all"))
-    keyed = docs.withColumn("__lg_key", row_key(F.col(id_col), F.coalesce(text_col, F.lit("")))).join(stay, "__lg_key")
-    nth = F.row_number().over(Window.partitionBy("__lg_key").orderBy(text_col))
-    return keyed.withColumn("__lg_n", nth).where("__lg_all OR __lg_n = 1").select(*docs.columns)
+    stay = linked(docs, id_col, text_col).where("rid = c_rid AND n > 0").select("key").distinct()
+    rows, ident, text = positional(docs, id_col, text_col)
+    blank = F.length(F.trim(F.coalesce(text, F.lit("")), F.lit(ASCII_SPACE))) == 0
+    some = rows.where(~blank).withColumn("key", key_of(F.col(ident), F.col(text))).dropDuplicates(["key"])
+    return some.join(stay, "key", "left_semi").drop("key").unionByName(rows.where(blank)).toDF(*docs.columns)
 
 
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
