@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, frozen, ship
+from .common import documents, frozen, positional, ship
 from .tokens import byte_letters, vocabulary_path
 
 SEQUENCE, SEPARATOR, PER_GROUP = 1024, 2, 20_000
@@ -76,7 +76,8 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
     """id, piece, start, length, ids_crc32: a row a piece."""
     ship(docs.sparkSession)
     path = path or vocabulary_path()
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
+    docs, ident, text = positional(docs, id_col, text_col)
+    rows = docs.select(F.col(ident).alias("id"), F.coalesce(text, F.lit("")).alias("text"))
     schema = rows.select("id", *[F.lit(0).cast(t).alias(c) for c, t in (("piece", "int"), ("start", "long"), ("length", "long"), ("ids_crc32", "long"))]).schema
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

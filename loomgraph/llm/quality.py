@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import ASCII_SPACE, documents, frozen
+from .common import ASCII_SPACE, documents, frozen, positional
 
 #: rate: (slack, two-sided)
 RATES = {"symbols": (20, False), "dup_lines": (150, False), "repeats": (150, False), "word_length": (100, True)}
@@ -67,12 +67,13 @@ def repeat_words(words: Column) -> Column:
 
 def base_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", group_cols=("lang", "source")) -> DataFrame:
     """id, lang, source, the base counts and n_lines (lines with a word)."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
+    docs, ident, text, *group = positional(docs, id_col, text_col, *group_cols)
+    text = F.coalesce(F.col(text), F.lit(""))
     bare = F.trim("t", F.lit(ASCII_SPACE))
     without = F.octet_length("t")
     for c in "#*$%&|<>":
         without = without - (F.octet_length("t") - F.octet_length(F.replace("t", F.lit(c))))
-    rows = docs.select(F.col(id_col).alias("id"), *[F.col(c).cast("string").alias(k) for k, c in zip(("lang", "source"), group_cols, strict=True)], text.alias("t"))
+    rows = docs.select(F.col(ident).alias("id"), *[F.col(c).cast("string").alias(k) for k, c in zip(("lang", "source"), group, strict=True)], text.alias("t"))
     rows = rows.select("id", "lang", "source",
         F.when(F.length(bare) == 0, F.array().cast("array<string>")).otherwise(F.split(bare, r"[\x20\x09-\x0D]+")).alias("w"),
         F.filter(F.split("t", "\n"), lambda x: F.length(F.trim(x, F.lit(ASCII_SPACE))) > 0).alias("lines"),

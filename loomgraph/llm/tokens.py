@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, ship
+from .common import documents, positional, ship
 from .tables import HashIndex, ranges
 
 LIMIT = 512
@@ -157,7 +157,8 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """One row per document: identifier, n_bytes, n_tokens, over_limit."""
     ship(docs.sparkSession)
     path = path or vocabulary_path()
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
+    docs, ident, text = positional(docs, id_col, text_col)
+    rows = docs.select(F.col(ident).alias("id"), F.coalesce(text, F.lit("")).alias("text"))
     schema = rows.select("id", F.lit(0).cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_tokens")).schema
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
