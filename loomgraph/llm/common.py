@@ -59,12 +59,12 @@ def frozen(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def frozen_by(df: DataFrame, name: str, key: str) -> DataFrame:
+def frozen_by(df: DataFrame, name: str, key: str, options: dict | None = None) -> DataFrame:
     """df as a table bucketed by key in the shared folder: later joins on key move only their other side."""
     spark = df.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     table = f"loomgraph_{name}_{uuid.uuid4().hex}"
-    df.repartition(parts, key).write.bucketBy(parts, key).option("path", scratch_path(spark, name)).option("compression", "zstd").saveAsTable(table)
+    df.repartition(parts, key).write.bucketBy(parts, key).options(**{"compression": "zstd"} | (options or {})).option("path", scratch_path(spark, name)).saveAsTable(table)
     atexit.register(_drop, spark, table)
     return spark.table(table)
 

@@ -8,36 +8,42 @@ with a smaller identifier. The strings are found without sorting every suffix:
   substrings, so equal windows have the same anchor wherever they stand. Runs of
   neighbouring windows with the same anchor make one segment.
 * Documents are packed into batches, and each batch gets its suffix array: its
-  segments in the order of 64 bits of anchor and segment fingerprint, dealt into
-  buckets by the anchor, with the smallest identifier for each.
-* A bucket takes the batches' arrays in turn. Each is merge-scanned into a family
-  of levels, where two levels of one size class merge, and a merge keeps the
-  smallest identifier, so a bucket of n entries costs n log n however many
-  batches come. Then every array is scanned against what the levels hold.
+  segments in the order of anchor and segment fingerprints (128 bits between
+  them), dealt into buckets by the anchor, with the smallest identifier for each.
+* In a bucket the batches' arrays come one by one to a family of levels. Each is
+  first merge-scanned against the levels that exist: for every entry, the smallest
+  identifier so far that has it, and what else its anchor has met. Then it becomes
+  a level itself, and two levels of one size class merge, so a bucket of n entries
+  costs n log n however many batches come. As matches go both ways, the arrays
+  come a second time in reverse order to a new family: what an array met on both
+  ways is all that the bucket has.
 * A segment whose whole content occurs in a document with a smaller identifier
   is repeated in full. If its anchor occurs with other content, its text (at
   most SPAN + 30 bytes) comes to the bucket once, and its windows are compared
-  one by one. All other segments are unique.
+  one by one, hits byte by byte. All other segments are unique.
 
 Fingerprint order takes the place of byte order: the scans only ask for equality
 of whole prefixes, which any fixed order answers, and numpy sorts 64-bit numbers
 some thirty times faster than byte strings.
 
 A passage that a third of the documents share is one entry a batch. Buckets are
-bounded by `BUCKET` entries on average, and grow in number with the input. Texts
+bounded by `BUCKET` entries on average, and grow in number with the input, up to
+`MAX_BUCKETS`, and batches with them; beyond some 400 GB of text buckets grow
+too (24 bytes an entry, an entry for some 16 bytes of text). An anchor with very
+many different contexts is compared in classes of its windows, so memory beyond
+the contexts themselves (80 bytes each) is bounded. Texts
 are stored once, compressed, in a bucketed table in the shared folder, so they are
 joined with what the buckets found without moving again.
 
 Defined results: matches never cross documents; a null text is empty; a text
-shorter than SPAN loses nothing; a null identifier counts as larger than all
-others; of rows with the same identifier none is smaller, so they don't take
+shorter than SPAN loses nothing; a null identifier counts as 2^63 - 1, the
+largest; of rows with the same identifier none is smaller, so they don't take
 bytes from each other; an empty table gives an empty result; other columns are
 not read. Identifiers are integers.
 """
 
 from __future__ import annotations
 
-import atexit
 import uuid
 from collections.abc import Iterator
 from hashlib import sha256
@@ -47,15 +53,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, frozen, scratch_path, ship
+from .common import documents, frozen, frozen_by, positional, ship
 from .tables import ranges
 
 SPAN, GRAM = 50, 20
 WIDE = SPAN - GRAM + 1  # windows that one anchor can serve
 BATCH, CHUNK, BUCKET = 3 << 20, 1 << 19, 400_000
-MAX_BUCKETS = 4096  # more would leave a batch's arrays with fewer than some hundred entries a bucket
+MAX_BUCKETS, LARGEST_BATCH = 1 << 16, 48 << 20
+FEW_BUCKETS = 4096  # more only with larger batches: a batch should have some dozen entries a bucket
 _LAST = np.iinfo(np.int64).max
-_C = (np.random.default_rng(50).integers(1, 2**63, 12, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
+_C = (np.random.default_rng(50).integers(1, 2**63, 24, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -68,18 +75,18 @@ def words_of(stream: np.ndarray) -> np.ndarray:
     return np.ndarray(len(stream) - 8, "<u8", buffer=stream, strides=(1,)).copy()
 
 
-def fingerprint(w: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Of the SPAN = 50 bytes from each position on."""
-    h = w[at] * _C[0]
+def fingerprint(w: np.ndarray, at: np.ndarray, seed: int = 0) -> np.ndarray:
+    """Of the SPAN = 50 bytes from each position on. Another seed (12) gives an independent one."""
+    h = w[at] * _C[seed]
     for k, o in enumerate((8, 16, 24, 32, 40, 42), 1):
-        h = _mix(h) + w[at + o] * _C[k]
+        h = _mix(h) + w[at + o] * _C[seed + k]
     return _mix(h)
 
 
 class Segments:
     """Runs of windows with one anchor, over documents that stand in one array.
 
-    start, count: first window and number of windows; doc: which document; anchor; content: hash of the run's bytes.
+    start, count: first window and number of windows; doc: which document; anchor; content, check: two hashes of the run's bytes.
     """
 
     def __init__(self, texts: list[bytes]):
@@ -96,13 +103,13 @@ class Segments:
             else:
                 parts.append(self._chunk(lo, self.begin[lo], self.size[lo:hi]))
             lo = hi
-        self.start, self.count, self.doc, self.anchor, self.content = (np.concatenate(c) for c in zip(*parts, strict=True)) if parts else (np.empty(0, np.int64),) * 5
+        self.start, self.count, self.doc, self.anchor, self.content, self.check = (np.concatenate(c) for c in zip(*parts, strict=True)) if parts else (*(np.empty(0, np.int64),) * 3, *(np.empty(0, np.uint64),) * 3)
 
     def _chunk(self, lo: int, base: int, n: np.ndarray):
         """The segments of documents lo, lo + 1, ... of n bytes each from base on."""
         begin, total = np.cumsum(n) - n, int(n.sum())
         w = words_of(self.stream[base : base + total + 64])
-        none = (np.empty(0, np.int64),) * 3 + (np.empty(0, np.uint64),) * 2
+        none = (np.empty(0, np.int64),) * 3 + (np.empty(0, np.uint64),) * 3
         if total < SPAN:
             return none
         m = w[: total - GRAM + 1] * _C[7]
@@ -130,8 +137,8 @@ class Segments:
             step = ranges(np.zeros(len(count), np.int64), pieces)
             start, doc = np.repeat(start, pieces) + WIDE * step, np.repeat(doc, pieces)
             count = np.minimum(np.repeat(count, pieces) - WIDE * step, WIDE)
-        content = _mix(_mix(fingerprint(w, start) + count.astype(np.uint64)) + fingerprint(w, start + count - 1) * _C[10])
-        return start + base, count, doc + lo, _mix(m[start] * _C[11]), content
+        content, check = (_mix(_mix(fingerprint(w, start, k) + count.astype(np.uint64)) + fingerprint(w, start + count - 1, k) * _C[k + 10]) for k in (0, 12))
+        return start + base, count, doc + lo, _mix(m[start] * _C[11]), content, check
 
 
 class Array:
@@ -142,10 +149,10 @@ class Array:
         self.of = ids[s.doc]
         bucket = (s.anchor >> np.uint64(64 - bits)).astype(np.int64)
         key = ((s.anchor << np.uint64(bits)) & ~np.uint64((1 << 38) - 1)) | (s.content >> np.uint64(26))
-        order = np.lexsort((self.of, key, bucket))
-        b, k = bucket[order], key[order]
-        first = np.flatnonzero(np.concatenate([[True], (b[1:] != b[:-1]) | (k[1:] != k[:-1])])) if len(order) else order
-        self.bucket, self.key, self.least = b[first], k[first], self.of[order][first]
+        order = np.lexsort((self.of, s.check, key, bucket))
+        b, k, c = bucket[order], key[order], s.check[order]
+        first = np.flatnonzero(np.concatenate([[True], (b[1:] != b[:-1]) | (k[1:] != k[:-1]) | (c[1:] != c[:-1])])) if len(order) else order
+        self.bucket, self.key, self.check, self.least = b[first], k[first], c[first], self.of[order][first]
         self.sample = order[first]  # a segment of the document with the smallest identifier
         self.entry = np.empty(len(order), np.int64)
         self.entry[order] = np.repeat(np.arange(len(first)), np.diff([*first, len(order)]))
@@ -156,51 +163,97 @@ class Array:
             yield int(self.bucket[lo]), slice(lo, hi)
 
 
-class Levels:
-    """The logarithmic family of a bucket: sorted (key, least identifier), each level over twice the next one's size."""
+class Level:
+    """Entries (key, check, least identifier) in order, and for each anchor among them how many there are and the
+    smallest and largest of their identifiers."""
 
-    def __init__(self):
-        self.levels: list[tuple[np.ndarray, np.ndarray]] = []
+    def __init__(self, key: np.ndarray, check: np.ndarray, least: np.ndarray):
+        self.key, self.check, self.least = key, check, least
+        a = anchor_of(key)
+        first = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]])) if len(a) else np.empty(0, np.int64)
+        self.anchor, self.count = a[first], np.diff([*first, len(a)])
+        self.low, self.high = (np.minimum.reduceat(least, first), np.maximum.reduceat(least, first)) if len(a) else (least, least)
 
-    def add(self, key: np.ndarray, least: np.ndarray) -> None:
-        self.levels.append((key, least))
-        while len(self.levels) > 1 and 2 * len(self.levels[-1][0]) >= len(self.levels[-2][0]):
-            self.levels.append(self.merge(self.levels.pop(), self.levels.pop()))
+    def __len__(self) -> int:
+        return len(self.key)
 
-    @staticmethod
-    def merge(x, y):
-        key, least = np.concatenate([x[0], y[0]]), np.concatenate([x[1], y[1]])
+    def merged(self, other: Level) -> Level:
+        key, check, least = (np.concatenate(x) for x in ((self.key, other.key), (self.check, other.check), (self.least, other.least)))
         order = np.argsort(key, kind="stable")  # two sorted runs: a merge
-        key, least = key[order], least[order]
-        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        return key[first], np.minimum.reduceat(least, first)
+        key, check, least = key[order], check[order], least[order]
+        if (tied := key[1:] == key[:-1]).any() and (check[1:][tied] < check[:-1][tied]).any():  # equal keys of different content
+            order = np.lexsort((check, key))
+            key, check, least = key[order], check[order], least[order]
+        first = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (check[1:] != check[:-1])]))
+        return Level(key[first], check[first], np.minimum.reduceat(least, first))
+
+    def rows(self, key: np.ndarray, check: np.ndarray) -> np.ndarray:
+        """Where these entries stand; -1 for those that are not here."""
+        at, row = np.searchsorted(self.key, key), np.full(len(key), -1)
+        todo = np.flatnonzero(at < len(self))
+        while len(todo := todo[self.key[at[todo]] == key[todo]]):
+            hit = self.check[at[todo]] == check[todo]
+            row[todo[hit]] = at[todo[hit]]
+            todo = todo[~hit]
+            at[todo] += 1
+            todo = todo[at[todo] < len(self)]
+        return row
+
+
+class Seen:
+    """What an array's entries have met: the least identifier that has the same content, the anchor's other contents, and the
+    smallest and largest identifier at the anchor."""
+
+    def __init__(self, own: Level):
+        self.own, self.place = own, np.repeat(np.arange(len(own.anchor)), own.count)
+        self.least, self.others = own.least.copy(), own.count[self.place] - 1
+        self.low, self.high = own.low[self.place].copy(), own.high[self.place].copy()
+
+    def scan(self, level: Level) -> None:
+        row = level.rows(self.own.key, self.own.check)
+        same = row >= 0
+        self.least[same] = np.minimum(self.least[same], level.least[row[same]])
+        at = np.searchsorted(level.anchor, self.own.anchor)
+        here = at < len(level.anchor)
+        here[here] = level.anchor[at[here]] == self.own.anchor[here]
+        some = here[self.place]
+        there = at[self.place[some]]
+        self.others[some] += level.count[there] - same[some]
+        self.low[some] = np.minimum(self.low[some], level.low[there])
+        self.high[some] = np.maximum(self.high[some], level.high[there])
+
+    def status(self) -> np.ndarray:
+        """0 unique, 1 repeated in full, 2 to be compared window by window."""
+        return np.where(self.least < self.own.least, 1, np.where((self.others > 0) & (self.low < self.high), 2, 0)).astype(np.uint8)
+
+
+class Family:
+    """The logarithmic family of a bucket: levels, each over twice the next one's size."""
+
+    def __init__(self):
+        self.levels: list[Level] = []
 
-    def whole(self) -> tuple[np.ndarray, np.ndarray]:
-        while len(self.levels) > 1:
-            self.levels.append(self.merge(self.levels.pop(), self.levels.pop()))
-        return self.levels[0]
+    def take(self, array: Seen) -> None:
+        """The array is scanned against every level that is here, then becomes one."""
+        for level in self.levels:
+            array.scan(level)
+        self.levels.append(array.own)
+        while len(self.levels) > 1 and 2 * len(self.levels[-1]) >= len(self.levels[-2]):
+            self.levels.append(self.levels.pop().merged(self.levels.pop()))
 
 
 def anchor_of(key: np.ndarray) -> np.ndarray:
     return key >> np.uint64(38)
 
 
-def scan(arrays: list[tuple[np.ndarray, np.ndarray]]) -> list[np.ndarray]:
-    """For each array's entries: 0 unique, 1 repeated in full, 2 to be compared window by window."""
-    family = Levels()
-    for key, least in arrays:
-        family.add(key, least)
-    key, least = family.whole()
-    a = anchor_of(key)
-    first = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]]))
-    low, high = np.minimum.reduceat(least, first), np.maximum.reduceat(least, first)
-    group = np.repeat(np.arange(len(first)), np.diff([*first, len(a)]))
-    several = (np.diff([*first, len(a)]) > 1)[group] & (low < high)[group]
-    out = []
-    for k, d in arrays:
-        at = np.searchsorted(key, k)
-        out.append(np.where(least[at] < d, 1, np.where(several[at], 2, 0)).astype(np.uint8))
-    return out
+def scan(arrays: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> list[np.ndarray]:
+    """The status of each array's entries (key, check, least) after all arrays have come, and come again in reverse order."""
+    seen = [Seen(Level(*x)) for x in arrays]
+    for way in (seen, seen[::-1]):
+        family = Family()
+        for array in way:
+            family.take(array)
+    return [x.status() for x in seen]
 
 
 def compare(anchor: np.ndarray, least: np.ndarray, count: np.ndarray, text: np.ndarray, part: int = 16_384) -> np.ndarray:
@@ -213,24 +266,48 @@ def compare(anchor: np.ndarray, least: np.ndarray, count: np.ndarray, text: np.n
     while lo < len(order):
         hi = int(ends[min(np.searchsorted(ends, lo + part), len(ends) - 1)])
         at = order[lo:hi]
-        out[at] = _compare(anchor[at], least[at], count[at], text[at])
+        classes = -(-(hi - lo) // (2 * part))  # over one only for an anchor with more segments than part
+        for k in range(classes):
+            out[at] |= _compare(anchor[at], least[at], count[at], text[at], k, classes, part)
         lo = hi
     return out
 
 
-def _compare(anchor: np.ndarray, least: np.ndarray, count: np.ndarray, text: np.ndarray) -> np.ndarray:
-    out = np.zeros(len(anchor), np.uint32)
-    width = text.shape[1]
-    w = words_of(np.concatenate([text.ravel(), np.zeros(64, np.uint8)]))
-    step = ranges(np.zeros(len(count), np.int64), count)
-    row = np.repeat(np.arange(len(count)), count)
-    found = fingerprint(w, row * width + step)
-    mixed = _mix(anchor[row] * _C[3] ^ found)
-    order = np.argsort(mixed)
-    m, a, f = mixed[order], anchor[row][order], found[order]
-    first = np.flatnonzero(np.concatenate([[True], (m[1:] != m[:-1]) | (a[1:] != a[:-1]) | (f[1:] != f[:-1])]))
-    low = np.repeat(np.minimum.reduceat(least[row][order], first), np.diff([*first, len(m)]))
-    hit = order[low < least[row][order]]
+def _compare(anchor: np.ndarray, least: np.ndarray, count: np.ndarray, text: np.ndarray, k: int = 0, classes: int = 1, part: int = 16_384) -> np.ndarray:
+    """The windows whose fingerprint falls into class k."""
+    out, width, parts = np.zeros(len(anchor), np.uint32), text.shape[1], []
+    for lo in range(0, len(anchor), part):
+        n = count[lo : lo + part]
+        w = words_of(np.concatenate([text[lo : lo + part].ravel(), np.zeros(64, np.uint8)]))
+        step, row = ranges(np.zeros(len(n), np.int64), n), np.repeat(np.arange(len(n)), n)
+        f = fingerprint(w, row * width + step)
+        mine = f % np.uint64(classes) == k if classes > 1 else slice(None)
+        parts.append((row[mine] + lo, step[mine], f[mine]))
+    row, step, found = (np.concatenate(c) for c in zip(*parts, strict=True))
+    if not len(row):
+        return out
+    order = np.argsort(_mix(anchor[row] * _C[3] ^ found))
+    row, step, found = row[order], step[order], found[order]
+    a, d = anchor[row], least[row]
+    first = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (found[1:] != found[:-1])]))
+    sizes = np.diff([*first, len(row)])
+    group = np.repeat(np.arange(len(first)), sizes)
+    low = np.minimum.reduceat(d, first)
+    hit = d > low[group]
+    # The bytes decide: every window of a group with a hit is held against the group's first.
+    suspects = np.flatnonzero((np.bincount(group[hit], minlength=len(first)) > 0)[group])
+    wrong = np.zeros(len(first), bool)
+    for lo in range(0, len(suspects), 50_000):
+        at = suspects[lo : lo + 50_000]
+        one, other = (text[row[x][:, None], step[x][:, None] + np.arange(SPAN)] for x in (at, first[group[at]]))
+        wrong[group[at[(one != other).any(1)]]] = True
+    for g in np.flatnonzero(wrong).tolist():  # different bytes under one fingerprint
+        at = range(first[g], first[g] + sizes[g])
+        whole = [text[row[x], step[x] : step[x] + SPAN].tobytes() for x in at]
+        least_of = {}
+        for x, t in zip(at, whole, strict=True):
+            least_of[t] = min(least_of.get(t, _LAST), d[x])
+        hit[first[g] : first[g] + sizes[g]] = [d[x] > least_of[t] for x, t in zip(at, whole, strict=True)]
     np.bitwise_or.at(out, row[hit], np.uint32(1) << step[hit].astype(np.uint32))
     return out
 
@@ -257,25 +334,30 @@ def removed(array: Array, status: np.ndarray, masks: np.ndarray) -> np.ndarray:
     return gone
 
 
-def _pack(ids: list[int], texts: list[bytes]) -> tuple[bytes, bytes, bytes]:
+def _pack(ids: list[int | None], texts: list[bytes]) -> tuple[bytes, bytes, bytes]:
     import zstandard
 
-    return np.array(ids, "<i8").tobytes(), np.array([len(t) for t in texts], "<i8").tobytes(), zstandard.ZstdCompressor(level=1).compress(b"".join(texts))
+    known = np.array([_LAST if i is None else i for i in ids], "<i8")
+    sizes = np.array([len(t) if i is not None else -len(t) - 1 for i, t in zip(ids, texts, strict=True)], "<i8")  # below 0: of a null identifier
+    return known.tobytes(), sizes.tobytes(), zstandard.ZstdCompressor(level=1).compress(b"".join(texts))
 
 
-def _unpack(ids: bytes, sizes: bytes, data: bytes) -> tuple[np.ndarray, list[bytes]]:
+def _unpack(ids: bytes, sizes: bytes, data: bytes) -> tuple[np.ndarray, list[bytes], np.ndarray]:
+    """Identifiers, texts, and which identifiers are null."""
     import zstandard
 
     n = np.frombuffer(sizes, "<i8")
+    null = n < 0
+    n = np.where(null, -n - 1, n)
     whole = memoryview(zstandard.ZstdDecompressor().decompress(data, max_output_size=max(1, int(n.sum()))))
     ends = np.cumsum(n).tolist()
-    return np.frombuffer(ids, "<i8"), [bytes(whole[e - k : e]) for e, k in zip(ends, n.tolist(), strict=True)]
+    return np.frombuffer(ids, "<i8"), [bytes(whole[e - k : e]) for e, k in zip(ends, n.tolist(), strict=True)], null
 
 
 def batches_of(docs: DataFrame, id_col: str, text_col: str, size: int) -> tuple[DataFrame, int]:
     """The documents in batches of about size bytes, as a table bucketed by batch; and the bytes of text."""
-    spark = docs.sparkSession
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
+    docs, ident, text = positional(docs, id_col, text_col)
+    rows = docs.select(F.col(ident).cast("long").alias("id"), F.coalesce(text, F.lit("")).alias("text"))
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, texts, held = [], [], 0
@@ -295,20 +377,14 @@ def batches_of(docs: DataFrame, id_col: str, text_col: str, size: int) -> tuple[
         if ids:
             yield done()
 
-    name = f"loomgraph_batches_{uuid.uuid4().hex}"
     made = rows.mapInArrow(make, "batch long, ids binary, sizes binary, data binary, n_bytes long")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    made.write.bucketBy(parts, "batch").option("path", scratch_path(spark, "batches")).option("compression", "uncompressed").option("parquet.block.size", 16 << 20).saveAsTable(name)
-    atexit.register(_drop, spark, name)
-    table = spark.table(name)
+    table = frozen_by(made, "batches", "batch", {"compression": "uncompressed", "parquet.block.size": 16 << 20})
     return table, table.agg(F.sum("n_bytes")).first()[0] or 0
 
 
-def _drop(spark: SparkSession, name: str) -> None:
-    try:
-        spark.sql(f"DROP TABLE IF EXISTS {name}")
-    except Exception:  # noqa: BLE001  the session may have ended before
-        pass
+def _about(docs: DataFrame) -> int:
+    """Bytes of docs as the optimizer has them: it only sets the size of batches, results do not depend on it."""
+    return int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
@@ -318,7 +394,7 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
             yield [c[k].as_py() for c in b.columns]
 
 
-def _groups(batches: Iterator[pa.RecordBatch], columns: int) -> Iterator[list[list]]:
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[list]]:
     """Rows of sorted batches with the same first column, as lists of columns."""
     key, rows = None, []
     for b in batches:
@@ -345,32 +421,33 @@ def _status(array: Array, found: list | None, dtype) -> list[np.ndarray]:
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batch: int = BATCH, bucket: int = BUCKET, with_text: bool = False) -> DataFrame:
     """One row per document: identifier, n_bytes, n_removed, n_spans, kept_sha256 (and kept_bytes)."""
     ship(docs.sparkSession)
-    kind = docs.schema[id_col].dataType
+    kind = positional(docs, id_col)[0].schema[positional(docs, id_col)[1]].dataType
+    batch = max(batch, min(LARGEST_BATCH, batch * (_about(docs) // (16 * bucket * FEW_BUCKETS))))
     table, total = batches_of(docs, id_col, text_col, batch)
     bits = min(max(2, (total // 16 // bucket).bit_length()), MAX_BUCKETS.bit_length() - 1)
 
     def arrays(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for name, ids, sizes, data in _rows(rows):
-            a = Array(*_unpack(ids, sizes, data), bits)
-            out = [(k, a.key[s].tobytes(), a.least[s].astype("<i8").tobytes()) for k, s in a.by_bucket()]
+            a = Array(*_unpack(ids, sizes, data)[:2], bits)
+            out = [(k, a.key[s].tobytes(), a.check[s].tobytes(), a.least[s].astype("<i8").tobytes()) for k, s in a.by_bucket()]
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([name] * len(out), pa.int64()), *(pa.array([x[k] for x in out], pa.binary()) for k in (1, 2))], ["bucket", "batch", "key", "least"])
+                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([name] * len(out), pa.int64()), *(pa.array([x[k] for x in out], pa.binary()) for k in (1, 2, 3))], ["bucket", "batch", "key", "check", "least"])
 
     def scanned(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for k, names, keys, leasts in _groups(rows, 4):
-            found = scan([(np.frombuffer(x, np.uint64), np.frombuffer(y, "<i8")) for x, y in zip(keys, leasts, strict=True)])
+        for k, names, keys, checks, leasts in _groups(rows):
+            found = scan([(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), np.frombuffer(z, "<i8")) for x, y, z in zip(keys, checks, leasts, strict=True)])
             yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(names, pa.int64()), pa.array([x.tobytes() for x in found], pa.binary())], ["bucket", "batch", "found"])
 
     def dealt(found: DataFrame) -> DataFrame:
         return found.repartition("bucket").sortWithinPartitions("bucket", "batch")
 
     text = table.select("batch", "ids", "sizes", "data")
-    sent = dealt(text.mapInArrow(arrays, "bucket long, batch long, key binary, least binary"))
+    sent = dealt(text.mapInArrow(arrays, "bucket long, batch long, key binary, check binary, least binary"))
     status = frozen(_by_batch(sent.mapInArrow(scanned, "bucket long, batch long, found binary")), "status")
 
     def contexts(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for name, ids, sizes, data, found in _rows(rows):
-            a = Array(*_unpack(ids, sizes, data), bits)
+            a = Array(*_unpack(ids, sizes, data)[:2], bits)
             s, out = a.segments, []
             for (k, part), st in zip(a.by_bucket(), _status(a, found, np.uint8), strict=True):
                 at = np.flatnonzero(st == 2)
@@ -384,7 +461,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([name] * len(out), pa.int64()), *(pa.array([x[k] for x in out], pa.binary()) for k in range(1, 5))], ["bucket", "batch", "anchor", "least", "count", "text"])
 
     def compared(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for k, names, anchors, leasts, counts, texts in _groups(rows, 6):
+        for k, names, anchors, leasts, counts, texts in _groups(rows):
             join = lambda parts, t: np.frombuffer(b"".join(parts), t)
             masks = compare(join(anchors, "<u4").astype(np.uint64), join(leasts, "<i8"), join(counts, np.uint8).astype(np.int64), join(texts, np.uint8).reshape(-1, SPAN + WIDE - 1))
             ends = np.cumsum([len(c) for c in counts]).tolist()
@@ -397,17 +474,17 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def results(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, ids, sizes, data, found, mask in _rows(rows):
-            ids, texts = _unpack(ids, sizes, data)
+            ids, texts, null = _unpack(ids, sizes, data)
             a = Array(ids, texts, bits)
             st = np.concatenate([np.empty(0, np.uint8), *_status(a, found, np.uint8)])
             gone = removed(a, st, np.concatenate([np.empty(0, np.uint32), *_status(a, mask, np.uint32)]))
             out = []
-            for i, t, lo in zip(ids.tolist(), texts, a.segments.begin.tolist(), strict=True):
+            for i, none, t, lo in zip(ids.tolist(), null.tolist(), texts, a.segments.begin.tolist(), strict=True):
                 g = gone[lo : lo + len(t)]
                 n = int(g.sum())
                 kept = np.frombuffer(t, np.uint8)[~g].tobytes() if n else t
                 spans = int(g[:1].sum() + (g[1:] & ~g[:-1]).sum()) if n else 0
-                out.append((i if i != _LAST else None, len(t), n, spans, sha256(kept).hexdigest(), kept if with_text else None))
+                out.append((None if none else i, len(t), n, spans, sha256(kept).hexdigest(), kept if with_text else None))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), [*[pa.int64()] * 4, pa.string(), pa.binary()], strict=True)], ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_bytes"])
 
     last = text.join(status.hint("shuffle_hash"), "batch", "left").join(masks.withColumnRenamed("found", "masks").hint("shuffle_hash"), "batch", "left")

@@ -61,20 +61,57 @@ def test_equal_identifiers_and_null(spark):
     assert sorted((str(r.doc_id), r.n_removed) for r in got) == [("1", 0), ("1", 0), ("2", len(text)), ("None", len(text))]
 
 
-def test_levels_keep_the_least():
-    rng = np.random.default_rng(3)
-    arrays = []
-    for _ in range(37):
-        key = np.unique(rng.integers(0, 500, 60).astype(np.uint64) << np.uint64(38))
-        arrays.append((key, rng.integers(0, 1000, len(key))))
-    family = passages.Levels()
-    for key, least in arrays:
-        family.add(key, least)
-        sizes = [len(k) for k, _ in family.levels]
+def arrays_of(rng, n):
+    """Entries (key, check, least) in order; few keys, so anchors and contents are shared, and some keys have two contents."""
+    for _ in range(n):
+        rows = {(int(a) << 38 | int(c), int(k)) for a, c, k in zip(rng.integers(0, 40, 60), rng.integers(0, 6, 60), rng.integers(0, 2, 60), strict=True)}
+        rows = sorted(rows)
+        yield np.array([r[0] for r in rows], np.uint64), np.array([r[1] for r in rows], np.uint64), rng.integers(0, 1000, len(rows))
+
+
+def test_scan_against_brute_force():
+    arrays = list(arrays_of(np.random.default_rng(3), 23))
+    least, at = {}, {}
+    for key, check, d in arrays:
+        for k, c, x in zip(key.tolist(), check.tolist(), d.tolist(), strict=True):
+            least[k, c] = min(x, least.get((k, c), x))
+            at.setdefault(k >> 38, []).append((k, c, x))
+    for (key, check, d), got in zip(arrays, passages.scan(arrays), strict=True):
+        for k, c, x, status in zip(key.tolist(), check.tolist(), d.tolist(), got.tolist(), strict=True):
+            met = at[k >> 38]
+            several = len({m[:2] for m in met}) > 1 and len({m[2] for m in met}) > 1
+            assert status == (1 if least[k, c] < x else 2 if several else 0)
+
+
+def test_levels_are_geometric_and_each_array_meets_those_that_exist():
+    family, met = passages.Family(), []
+    for array in map(lambda x: passages.Seen(passages.Level(*x)), arrays_of(np.random.default_rng(4), 37)):
+        met.append(sum(map(len, family.levels)))
+        family.take(array)
+        sizes = [len(x) for x in family.levels]
         assert all(a > 2 * b for a, b in zip(sizes, sizes[1:], strict=False))
-    want = {}
-    for key, least in arrays:
-        for k, v in zip(key.tolist(), least.tolist(), strict=True):
-            want[k] = min(v, want.get(k, v))
-    key, least = family.whole()
-    assert dict(zip(key.tolist(), least.tolist(), strict=True)) == want
+        assert all((np.diff(x.key.astype(np.int64)) >= 0).all() for x in family.levels)
+    assert met[0] == 0 and min(met[1:]) > 0
+
+
+def test_bytes_decide_under_equal_fingerprints(spark, monkeypatch):
+    rng = random.Random(5)
+    width = passages.SPAN + passages.WIDE - 1
+    pool = [bytes(rng.choices(b"abcd", k=50)) for _ in range(6)]
+    text = np.zeros((40, width), np.uint8)
+    which = [rng.randrange(6) for _ in range(40)]
+    for k, w in enumerate(which):
+        text[k, :50] = np.frombuffer(pool[w], np.uint8)
+    least = np.array([rng.randrange(30) for _ in range(40)])
+    want = [int(min(d for d, x in zip(least, which, strict=True) if x == w) < own) for own, w in zip(least, which, strict=True)]
+    args = (np.zeros(40, np.uint64), least, np.ones(40, np.int64), text)
+    assert passages.compare(*args).tolist() == want
+    assert passages.compare(*args, part=4).tolist() == want  # one anchor, in classes of its windows
+    monkeypatch.setattr(passages, "fingerprint", lambda w, at, seed=0: np.zeros(len(at), np.uint64))
+    assert passages.compare(*args).tolist() == want
+
+
+def test_largest_identifier(spark):
+    text = "a passage that is certainly longer than fifty bytes, so it counts"
+    got = passages.without_repeats(spark.createDataFrame([(2**63 - 1, text), (1, text)], "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.n_removed) for r in got) == [(1, 0), (2**63 - 1, len(text))]
