@@ -1,21 +1,27 @@
 """Toxicity from class-conditional Kneser-Ney models.
 
-Two byte n-gram models over words, one of toxic and one of ordinary documents,
-are interpolated Kneser-Ney models whose longest grams (`LONGEST` bytes) carry
-counts and whose shorter ones carry continuation counts of their class; below
-`SHARED` + 1 bytes both back off to one set of counts gathered from the distinct
-words of all documents, labelled or not, so that what neither class has seen
-says the same under both. A document's distinct words are scored, each from its
-start, and the two log-likelihoods are compared per symbol. A logistic curve
-over that difference and the number of symbols (noise shrinks with its root),
-fitted on labelled rows that no count came from, makes it a probability. A fifth
-of each class is held back for it; with few rows of a class it is cross-fitted
-over all of them, and with fewer than `FEW` a fixed prior takes its place.
+Toxic and ordinary documents each have a Kneser-Ney model of expressions: words,
+and pairs of words that follow each other, counted once a document, so repetition
+adds no evidence. Pairs back off to words, and words to a byte model of the class
+(an interpolated Kneser-Ney model whose grams of `LONGEST` bytes carry counts and
+whose shorter ones carry continuation counts). Below `SHARED` + 1 bytes both
+classes back off to one set of counts, gathered from the distinct words of all
+documents, labelled or not, so what neither class has seen says the same under
+both. An expression that labelled documents have fewer than twice is left to the
+byte models.
+
+A document's two log-likelihoods over its distinct words are compared per symbol
+(length-normalised), and so are those of its most telling expressions, as one
+insult says little about the mean of a long text. A logistic curve over these,
+fitted on out-of-fold scores, makes them a probability: the labelled sample is
+dealt into FOLDS parts, each is measured by models of the others, and the models
+in use have the counts of all. With fewer than `FEW` labelled documents of a class
+a fixed prior takes the curve's place.
 
 Labels are learned only from rows with crc32(doc_id) mod 4 other than 2. The
-labelled sample is bounded: `SAMPLE` documents a class for the counts and
-as many for the curve, first in the order of a hash of doc_id among those with a
-text, and of each the first `SAMPLE_BYTES` characters. The shared counts cover
+labelled sample is bounded: `SAMPLE` documents a class, first in the order of a
+hash of doc_id among those with a text, the first `SAMPLE_BYTES` characters of
+each, and `CURVE` of them a class for the curve. The shared counts cover
 all documents and are added up by a distributed aggregation; the table of shared
 grams has no limit, grows with the different grams of the corpus, and is
 broadcast with the model (it is not sharded).
@@ -36,21 +42,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import backoff
-from .common import documents, frozen, ship
+from .common import documents, frozen, positional, ship
 from .language import remainder
+from .tables import HashIndex
 
-LONGEST, SHARED = 5, 4
-SAMPLE, SAMPLE_BYTES = 8000, 131_072
+LONGEST, SHARED = 8, 4
+SAMPLE, SAMPLE_BYTES, CURVE = 4000, 32_768, 1500
 THRESHOLD = 0.3
 MEMORY = 300_000
-#: With fewer labelled rows of a class than CROSS the curve is cross-fitted over FOLDS parts, with fewer than FEW there is
-#: none, and SYMBOLS symbols of evidence stand against the prior.
-CROSS, FOLDS, FEW = 500, 5, 8
+FOLDS, FEW = 5, 8
+#: Without a curve, SYMBOLS symbols of evidence stand against the prior.
 PRIOR, SYMBOLS = 0.1, 20
+DISCOUNT = 0.75
+ENOUGH, TOP = 16, 3  # expressions that are looked at by themselves
 _PAD = b" " * (LONGEST - 1)
 _EDGE = b".,!?;:|\"'()#*$%&<>"
 _RUN = re.compile(r"\S+")
@@ -91,32 +99,137 @@ def make_model(grams: np.ndarray, counts: np.ndarray, shared: tuple[np.ndarray,
     return backoff.kneser_ney(tables)
 
 
-class Scorer:
-    """Mean difference per symbol, and symbols, of each text's distinct words."""
+def word_hash(words: list[bytes]) -> np.ndarray:
+    import xxhash
 
-    def __init__(self, model: backoff.Backoff):
-        self.model, self.met = model, {}
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
 
-    def __call__(self, texts: list[str]) -> np.ndarray:
-        sets = [distinct_words(t) for t in texts]
-        need = set().union(*sets)
-        new = [w for w in need if w not in self.met]
-        if len(self.met) + len(new) > MEMORY:
-            self.met.clear()
-            new = list(need)
+
+def pair_hash(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    x = left * np.uint64(0x9E3779B97F4A7C15) + right
+    return (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+
+
+def once(texts: list[str]) -> tuple[dict, dict]:
+    """In how many of the texts each word is, and each pair of hashes of neighbouring words."""
+    words, pairs = Counter(), Counter()
+    for t in texts:
+        found = all_words(t)
+        words.update(set(found))
+        h = word_hash(found).tolist()
+        pairs.update(set(zip(h, h[1:], strict=False)))
+    return words, pairs
+
+
+class Expressions:
+    """Counts a class (columns: toxic, ordinary) of words and pairs, in how many documents each is, and of pairs by first word."""
+
+    def __init__(self, words: np.ndarray, counts: np.ndarray, left: np.ndarray, right: np.ndarray, pairs: np.ndarray):
+        seen = counts.sum(1) > 0
+        self.words, self.counts = words[seen], counts[seen]
+        self.total, self.kinds = self.counts.sum(0).astype(float), (self.counts > 0).sum(0).astype(float)
+        seen = pairs.sum(1) > 0
+        left, right, self.pair_counts = left[seen], right[seen], pairs[seen]
+        self.pairs = pair_hash(left, right)
+        self.first, at = np.unique(left, return_inverse=True)
+        self.first_total, self.first_kinds = np.zeros((len(self.first), 2)), np.zeros((len(self.first), 2))
+        np.add.at(self.first_total, at, self.pair_counts)
+        np.add.at(self.first_kinds, at, self.pair_counts > 0)
+
+    def index(self) -> tuple[HashIndex, HashIndex, HashIndex]:
+        return HashIndex(self.words), HashIndex(self.pairs), HashIndex(self.first)
+
+    def of_words(self, row: np.ndarray, base: np.ndarray) -> np.ndarray:
+        """Probabilities a class of words in these rows (-1: not counted); base: those of the byte models."""
+        n = np.where((row >= 0)[:, None], self.counts[row], 0) if len(self.words) else np.zeros_like(base)
+        total, kinds = np.maximum(self.total, 1), np.where(self.total > 0, self.kinds, 1)
+        return np.maximum(n - DISCOUNT, 0) / total + np.where(self.total > 0, DISCOUNT * kinds / total, 1) * base
+
+    def of_pairs(self, row: np.ndarray, first: np.ndarray, base: np.ndarray) -> np.ndarray:
+        """Probabilities a class of second words after first ones; base: those of the words alone."""
+        total, kinds = self.first_total[first], self.first_kinds[first]
+        more = np.maximum(self.pair_counts[row] - DISCOUNT, 0) / np.maximum(total, 1)
+        return more + np.where(total > 0, DISCOUNT * kinds / np.maximum(total, 1), 1) * base
+
+
+class Scorer:
+    """What each text says: features(), a row a text, and its symbols."""
+
+    def __init__(self, model: backoff.Backoff, expressions: Expressions):
+        self.model, self.expressions = model, expressions
+        self.words, self.pairs, self.first = expressions.index()
+        self.clear()
+
+    def clear(self) -> None:
+        self.raw: dict[str, int] = {}  # a word as it stands: its number, -1 without a letter or the like
+        self.number: dict[bytes, int] = {}
+        self.hash, self.size, self.odds = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty((0, 2))
+
+    def learn(self, found: list[list[str]]) -> None:
+        """Numbers for all words, and their probabilities."""
+        if len(self.raw) > MEMORY:
+            self.clear()
+        new = []
+        for w in set().union(*found) - self.raw.keys():
+            plain = w.lower().encode().strip(_EDGE)
+            if plain and plain not in self.number:
+                self.number[plain] = len(self.number)
+                new.append(plain)
+            self.raw[w] = self.number[plain] if plain else -1
         for k in range(0, len(new), 50_000):
             part = new[k : k + 50_000]
             stream, at, sizes = stream_of(part)
-            bits = self.model.score(stream, at)
-            gain = np.add.reduceat((bits[:, 1] - bits[:, 0]).astype(np.float64), np.cumsum(sizes) - sizes)
-            self.met.update(zip(part, gain.tolist(), strict=True))
-        n = [sum(map(len, s)) + len(s) for s in sets]
-        return np.array([(sum(map(self.met.__getitem__, sorted(s))) / k if k else 0.0, max(k, 1)) for s, k in zip(sets, n, strict=True)]).reshape(-1, 2)
+            bits = np.add.reduceat(self.model.score(stream, at).astype(np.float64), np.cumsum(sizes) - sizes)
+            h = word_hash(part)
+            odds = self.expressions.of_words(self.words.lookup(h), np.exp2(-np.minimum(bits, 1000)))
+            self.hash, self.size, self.odds = np.concatenate([self.hash, h]), np.concatenate([self.size, sizes]), np.concatenate([self.odds, odds])
+
+    def __call__(self, texts: list[str]) -> np.ndarray:
+        found = [t.split() for t in texts]
+        self.learn(found)
+        seq = np.fromiter((self.raw[w] for f in found for w in f), np.int64, sum(map(len, found)))
+        doc = np.repeat(np.arange(len(texts)), [len(f) for f in found])
+        doc, seq = doc[seq >= 0], seq[seq >= 0]
+        with np.errstate(divide="ignore"):
+            gain = np.log2(self.odds[:, 0]) - np.log2(self.odds[:, 1])
+        gain = np.nan_to_num(gain, nan=0.0, posinf=1000.0, neginf=-1000.0)
+        at, word = np.divmod(np.unique(doc * (len(gain) + 1) + seq), len(gain) + 1)
+        symbols = np.maximum(np.bincount(at, self.size[word], len(texts)), 1)
+        mean = np.bincount(at, gain[word], len(texts)) / symbols
+        at2, gain2 = self.known_pairs(doc, seq, gain)
+        where, what = np.concatenate([at, at2]), np.concatenate([gain[word], gain2])
+        order = np.lexsort((-what, where))
+        where, what = where[order], what[order]
+        nth = np.arange(len(where)) - np.searchsorted(where, where)
+        top = np.zeros((len(texts), TOP))
+        some = nth < TOP
+        top[where[some], nth[some]] = what[some]
+        return np.column_stack([mean, symbols, top])
+
+    def known_pairs(self, doc: np.ndarray, seq: np.ndarray, gain: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The texts' distinct pairs that are counted, and what each says: first word, then second after it."""
+        none = np.empty(0, np.int64), np.empty(0)
+        if len(seq) < 2 or not len(self.expressions.pairs):
+            return none
+        row = self.pairs.lookup(pair_hash(self.hash[seq[:-1]], self.hash[seq[1:]]))
+        here = np.flatnonzero((row >= 0) & (doc[1:] == doc[:-1]))
+        here = here[np.unique(np.column_stack([doc[here], row[here]]), axis=0, return_index=True)[1]]
+        if not len(here):
+            return none
+        odds = self.expressions.of_pairs(row[here], self.first.lookup(self.hash[seq[here]]), self.odds[seq[here + 1]])
+        with np.errstate(divide="ignore"):
+            after = np.nan_to_num(np.log2(odds[:, 0]) - np.log2(odds[:, 1]), nan=0.0, posinf=1000.0, neginf=-1000.0)
+        return doc[here], gain[seq[here]] + after
 
 
 def evidence(x: np.ndarray) -> np.ndarray:
-    m, root = x[:, 0], np.sqrt(x[:, 1])
-    return np.column_stack([m, m * root / 20, 1 / root, np.log(x[:, 1])])
+    """Mean difference a symbol, the same weighed by the root of the symbols (noise shrinks with it), and the best expressions'
+    bits (ENOUGH at most) less those that the best of so many would have by chance."""
+    chance = np.log2(x[:, 1])[:, None]
+    return np.column_stack([x[:, 0], x[:, 0] * np.sqrt(x[:, 1]) / 20, np.clip(x[:, 2:], 0, ENOUGH) - chance])
+
+
+RIDGE = 0.1
 
 
 def curve(f: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -125,8 +238,8 @@ def curve(f: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray,
     g, b = np.column_stack([(f - mu) / sd, np.ones(len(f))]), np.zeros(f.shape[1] + 1)
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(g @ b, -30, 30)))
-        h = (g * (weight * p * (1 - p))[:, None]).T @ g + 0.01 * np.eye(len(b))
-        b += np.linalg.solve(h, g.T @ (weight * (y - p)) - 0.01 * b)
+        h = (g * (weight * p * (1 - p))[:, None]).T @ g + RIDGE * np.eye(len(b))
+        b += np.linalg.solve(h, g.T @ (weight * (y - p)) - RIDGE * b)
     return mu, sd, b
 
 
@@ -160,88 +273,149 @@ def shared_counts(docs: DataFrame, text_col: str) -> tuple[np.ndarray, np.ndarra
         if seen:
             yield flushed()
 
-    words = docs.select(F.col(text_col).alias("t")).where("t IS NOT NULL").mapInArrow(grams, "g long, n long")
+    docs, text = positional(docs, text_col)
+    words = docs.select(F.col(text).alias("t")).where("t IS NOT NULL").mapInArrow(grams, "g long, n long")
     rows = words.groupBy("g").agg(F.sum("n").alias("n")).toArrow()
     return rows.column("g").to_numpy().astype(np.uint64), rows.column("n").to_numpy()
 
 
+def first_by_hash(ids: DataFrame, n: int) -> DataFrame:
+    """id, y: of each class the n ids with the smallest hashes. A cut in the hash's range leaves some 2 n before any order is
+    made, so no task sorts a class."""
+    ids = frozen(ids.withColumn("h", F.xxhash64("id")), "labelled")
+    out = None
+    for y, total in ids.groupBy("y").count().collect():
+        mine = ids.where(F.col("y") == y)
+        if total > 4 * n:
+            mine = mine.where(F.col("h") < -(1 << 63) + (1 << 64) * 2 * n // total)
+        mine = mine.orderBy("h", "id").limit(n)
+        out = mine if out is None else out.unionByName(mine)
+    return ids if out is None else out
+
+
+def parted(counts: DataFrame, keys: list[str]) -> DataFrame:
+    """keys and the counts of each class and part, of what at least two labelled documents have."""
+    of = lambda y, k: F.sum(F.when((F.col("part") == k) & (F.col("y") == y), F.col("n")).otherwise(0)).alias(f"y{y}p{k}")
+    return counts.groupBy(*keys).agg(F.sum("n").alias("n"), *[of(y, k) for y in (1, 0) for k in range(FOLDS)]).where("n > 1").drop("n")
+
+
+def by_part(rows: pa.Table) -> np.ndarray:
+    """Counts as (row, class, part)."""
+    return np.stack([np.column_stack([rows.column(f"y{y}p{k}").to_numpy() for k in range(FOLDS)]) for y in (1, 0)], 1)
+
+
 def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, fold: int, held: int, n: int, most: int):
-    """The model and its curve (None: `prior_score`), or no model and the share of toxic labels."""
-    marks = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where("id IS NOT NULL AND y IS NOT NULL")
+    """The models and their curve (None: `prior_score`), or no model and the share of toxic labels."""
+    whole, ident, text = positional(docs, id_col, text_col)
+    labels, marked, label = positional(labels, id_col, label_col)
+    marks = labels.select(F.col(marked).alias("id"), F.col(label).cast("int").alias("y")).where("id IS NOT NULL AND y IS NOT NULL")
     marks = marks.groupBy("id").agg(F.max("y").alias("y")).where(remainder(F.col("id"), fold) != held)
     share = marks.agg(F.avg("y")).first()[0] or 0.0
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.octet_length("text") > 0)
-    first = Window.partitionBy("y").orderBy(F.xxhash64("id"), "id")
-    ids = marks.join(texts.select("id"), "id", "left_semi").withColumn("k", F.row_number().over(first)).where(f"k <= {2 * n}")
-    # of each class a fifth for the curve, and all beyond the n that the counts take
-    ids = ids.select("id", "y", ((F.col("k") % 5 != 2) & (F.col("k") <= n + n // 4)).alias("fits"), (F.col("k") % FOLDS).alias("part"))
-    rows = texts.join(F.broadcast(ids), "id")  # at most 4 n ids
+    texts = whole.select(F.col(ident).alias("id"), F.col(text).alias("text")).where(F.octet_length("text") > 0)
+    ids = first_by_hash(marks.where("y IN (0, 1)").join(texts.select("id"), "id", "left_semi"), n)
+    part = F.pmod(F.xxhash64("id", F.lit("part")), F.lit(FOLDS)).cast("int")
+    rows = texts.join(F.broadcast(ids.select("id", "y", "h", part.alias("part"))), "id")  # at most 2 n ids
     rows = frozen(rows.withColumn("text", F.substring("text", 1, most)), "toxic-sample")
     n_of = {r.y: r.n for r in rows.groupBy("y").agg(F.count_distinct("id").alias("n")).collect()}
     if not n_of.get(1) or not n_of.get(0):
         return None, share
-    cross = min(n_of.values()) < CROSS  # few rows of a class: each serves counts and curve in turn
-    rows = rows.withColumn("part", F.col("part") if cross else F.when(F.col("fits"), 1).otherwise(0))
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def groups(b: pa.RecordBatch) -> Iterator[tuple[int, int, list[str]]]:
+        found = list(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True))
+        for y, k in sorted({x[1:] for x in found}):
+            yield y, k, [t for t, *at in found if at == [y, k]]
+
+    def count_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = list(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True))
-            for y, part in sorted({(k, p) for _, k, p in found}):
-                words = [w for t, k, p in found if (k, p) == (y, part) for w in all_words(t)]
-                if words:
+            for y, k, found in groups(b):
+                if words := [w for t in found for w in all_words(t)]:
                     g, c = np.unique(grams_of(words, LONGEST), return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array([y] * len(g), pa.int32()), pa.array([part] * len(g), pa.int32()), pa.array(g.astype(np.int64)), pa.array(c.astype(np.int64))], ["y", "part", "g", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.array([y] * len(g), pa.int32()), pa.array([k] * len(g), pa.int32()), pa.array(g.view(np.int64)), pa.array(c.astype(np.int64))], ["y", "part", "g", "n"])
 
-    counted = rows if cross else rows.where("fits")
-    got = counted.select("text", "y", F.col("part").cast("int")).mapInArrow(count, "y int, part int, g long, n long").groupBy("y", "part", "g").agg(F.sum("n").alias("n")).toArrow()
+    def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for y, k, found in groups(b):
+                words, pairs = once(found)
+                both = np.array(list(pairs), np.uint64).reshape(-1, 2)
+                left, right = np.concatenate([np.zeros(len(words), np.uint64), both[:, 0]]), np.concatenate([word_hash(list(words)), both[:, 1]])
+                n = np.fromiter([*words.values(), *pairs.values()], np.int64, len(left))
+                same = lambda x, t: pa.array(np.full(len(left), x), t)
+                yield pa.RecordBatch.from_arrays([same(y, pa.int32()), same(k, pa.int32()), pa.array(np.arange(len(left)) >= len(words)), pa.array(left.view(np.int64)), pa.array(right.view(np.int64)), pa.array(n)], ["y", "part", "pair", "a", "b", "n"])
+
+    sample = rows.select("text", "y", "part")
+    got = sample.mapInArrow(count_bytes, "y int, part int, g long, n long").groupBy("y", "part", "g").agg(F.sum("n").alias("n")).toArrow()
     y, part, g, c = (got.column(k).to_numpy() for k in ("y", "part", "g", "n"))
-    if not (y == 1).any() or not (y == 0).any():
-        return None, share
+    g = g.view(np.uint64)
     counts = np.zeros((len(g), 2), np.int64)
     counts[y == 1, 0], counts[y == 0, 1] = c[y == 1], c[y == 0]
+    if not (counts.sum(0) > 0).all():
+        return None, share
+    told = parted(sample.mapInArrow(count_words, "y int, part int, pair boolean, a long, b long, n long"), ["pair", "a", "b"]).toArrow()
+    pair, told_n = told.column("pair").to_numpy(zero_copy_only=False), by_part(told)
+    a, b = (told.column(k).to_numpy().view(np.uint64) for k in ("a", "b"))
     shared = shared_counts(docs, text_col)
     sc = docs.sparkSession.sparkContext
-    sent = sc.broadcast(make_model(g.astype(np.uint64), counts, shared))
 
-    def measured(held_back: DataFrame, model) -> tuple[np.ndarray, np.ndarray]:
-        def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            scorer = Scorer(model.value)
+    def models(but: int | None):
+        """Broadcast models of all parts but one."""
+        some, parts = part != but, [k for k in range(FOLDS) if k != but]
+        kept = told_n[:, :, parts].sum(2)
+        some_n = kept.sum(1) > 1  # counted without the part that is left out, as for a new document
+        word, two = some_n & ~pair, some_n & pair
+        expressions = Expressions(b[word], kept[word], a[two], b[two], kept[two])
+        return sc.broadcast((make_model(g[some], counts[some], shared), expressions))
+
+    sent = models(None)
+    if min(n_of.values()) < FEW:
+        return sent, None
+    few = F.col("h") < F.when(F.col("y") == 1, F.lit(cut(rows, 1))).otherwise(F.lit(cut(rows, 0)))
+    found = []
+    for k in range(FOLDS):
+        if not all((counts[part != k, j] > 0).any() for j in (0, 1)):
+            continue  # all of a class is in this part
+        model = models(k)
+
+        def measure(batches: Iterator[pa.RecordBatch], model=model) -> Iterator[pa.RecordBatch]:
+            scorer = Scorer(*model.value)
             for b in batches:
                 x = scorer(b.column(0).to_pylist())
-                yield pa.RecordBatch.from_arrays([b.column(1), pa.array(x[:, 0]), pa.array(x[:, 1])], ["y", "mean", "n"])
-
-        rest = held_back.select("text", "y").mapInArrow(measure, "y int, mean double, n double").toArrow()
-        return rest.column("y").to_numpy(), np.column_stack([rest.column("mean").to_numpy(), rest.column("n").to_numpy()])
-
-    if not cross:
-        y, x = measured(rows.where("NOT fits"), sent)
-    elif min(n_of.values()) < FEW:
+                yield pa.RecordBatch.from_arrays([b.column(1), *(pa.array(np.ascontiguousarray(x[:, j])) for j in range(x.shape[1]))], ["y", *(f"x{j}" for j in range(x.shape[1]))])
+
+        measured = rows.where(few & (F.col("part") == k)).select("text", "y").mapInArrow(measure, "y int, " + ", ".join(f"x{j} double" for j in range(2 + TOP))).toArrow()
+        found.append(np.column_stack([c.to_numpy() for c in measured.columns]))
+        model.unpersist()
+    found = np.concatenate(found) if found else np.empty((0, 3 + TOP))
+    found = found[np.lexsort(found.T)]
+    y, x = found[:, 0], found[:, 1:]
+    if not 0 < y.mean() < 1 if len(y) else True:
         return sent, None
-    else:
-        parts = []
-        for k in range(FOLDS):
-            model = sc.broadcast(make_model(g[part != k].astype(np.uint64), counts[part != k], shared))
-            parts.append(measured(rows.where(F.col("part") == k), model))
-            model.unpersist()
-        y, x = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-    order = np.lexsort((x[:, 1], x[:, 0], y))
-    x, y = x[order], y[order]
-    weight = np.where(y == 1, share / (y == 1).mean(), (1 - share) / (y == 0).mean())
+    weight = np.where(y == 1, share / y.mean(), (1 - share) / (1 - y.mean()))
     return sent, curve(evidence(x), y, weight)
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", fold: int = 4, held: int = 2, n: int = SAMPLE, most: int = SAMPLE_BYTES, threshold: float = THRESHOLD, carry: bool = False) -> DataFrame:
-    """One row per document: identifier, held_out, score, predicted. carry: docs itself with `__lg_score`."""
-    ship(docs.sparkSession)
-    sent, fitted = fit(docs, labels, id_col, text_col, label_col, fold, held, n, most)
-    out = F.coalesce(remainder(F.col(id_col), fold) == held, F.lit(True))
-    rows = docs if carry else docs.select(F.col(id_col).alias("id"), out.alias("held_out"), F.col(text_col).alias("text"))
-    at = docs.columns.index(text_col) if carry else 2
-    kept = rows.columns if carry else ["id", "held_out"]
-    schema = rows.select(*kept, F.lit(0.0).alias("__lg_score")).schema
+def cut(rows: DataFrame, y: int, n: int = CURVE) -> int:
+    """The hash below which n rows of the sample's class lie."""
+    held = rows.where(F.col("y") == y).orderBy("h").select("h").limit(n + 1).agg(F.max("h"), F.count(F.lit(1))).first()
+    return (1 << 63) - 1 if held[1] <= n else held[0]
+
+
+def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", fold: int = 4, held: int = 2, n: int = SAMPLE, most: int = SAMPLE_BYTES, threshold: float = THRESHOLD) -> DataFrame:
+    """One row per document: identifier, held_out, score, predicted."""
+    docs, ident, text = positional(docs, id_col, text_col)
+    out = F.coalesce(remainder(F.col(ident), fold) == held, F.lit(True))
+    rows = docs.select(F.col(ident).alias("id"), out.alias("held_out"), F.col(text).alias("text"))
+    scored = with_score(rows, 2, ["id", "held_out"], fit(docs.select(F.col(ident).alias(id_col), F.col(text).alias(text_col)), labels, id_col, text_col, label_col, fold, held, n, most))
+    return scored.select(F.col("id").alias(id_col), "held_out", "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def with_score(rows: DataFrame, at: int, kept: list[str], fitted: tuple) -> DataFrame:
+    """The kept first columns of rows and the score of the text in column `at`."""
+    ship(rows.sparkSession)
+    sent, fitted = fitted
+    schema = rows.select(*kept, F.lit(0.0).alias("score")).schema
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(sent.value) if sent else None
+        scorer = Scorer(*sent.value) if sent else None
         for b in batches:
             for k in range(0, b.num_rows, 500):
                 part = b.slice(k, 500)
@@ -250,17 +424,17 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
                     p = prior_score(scorer(texts)) if fitted is None else probability(fitted, scorer(texts))
                 else:
                     p = np.full(len(texts), fitted)
-                yield pa.RecordBatch.from_arrays([*part.columns[: len(kept)], pa.array(p, pa.float64())], names=[*kept, "__lg_score"])
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(kept)], pa.array(p, pa.float64())], names=[*kept, "score"])
 
-    scored = rows.mapInArrow(score, schema)
-    if carry:
-        return scored
-    return scored.select(F.col("id").alias(id_col), "held_out", F.col("__lg_score").alias("score"), (F.col("__lg_score") >= threshold).cast("int").alias("predicted"))
+    return rows.mapInArrow(score, schema)
 
 
-def clean(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, **how) -> DataFrame:
+def clean(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", fold: int = 4, held: int = 2, n: int = SAMPLE, most: int = SAMPLE_BYTES, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs that are not predicted toxic, with all their columns."""
-    return toxicity(docs, labels, threshold=threshold, carry=True, **how).where(F.col("__lg_score") < threshold).select(*docs.columns)
+    ship(docs.sparkSession)
+    rows, _, text = positional(docs, id_col, text_col)
+    scored = with_score(rows, rows.columns.index(text), rows.columns, fit(docs, labels, id_col, text_col, label_col, fold, held, n, most))
+    return scored.where(F.col("score") < threshold).drop("score").toDF(*docs.columns)
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
