@@ -13,13 +13,17 @@ The reader checks everything that can be checked (gzip CRC and length, version
 line, Content-Length, record end, block and payload digests). After a failed
 check it looks for the next gzip member or version line from the following byte
 on that passes all checks, goes on from there, and reports the bytes between as
-one quarantined gap with the reason. Compressed and plain records may mix.
+one quarantined gap with the reason. Compressed and plain records may mix. A
+record that claims, or unpacks to, more than `LARGEST` bytes counts as damaged,
+and bytes are let go as soon as no record can start in them, so memory is bounded
+by LARGEST, whatever lengths an archive claims and however long a gap is.
 
 Defined results: a null html is an empty payload; a null identifier ranks below
 all others and comes back as null; of repeated rows one is the response; a null
-url is left out, control characters in a url are escaped; an empty table gives
-no archive and no rows; other columns are not read. A record must fit a worker's
-memory; archives may have any length.
+url is left out, control characters in a url are escaped; an identifier that is
+an empty string is one of its own; an empty table gives no archive and no rows;
+other columns are not read. Payloads may have up to LARGEST bytes less some for
+the headers (the writer raises beyond it); archives may have any length.
 """
 
 from __future__ import annotations
@@ -37,31 +41,47 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import frozen, scratch_path, ship
+from .common import frozen, positional, row_key, scratch_path, ship
 from .exact_dedup import elect
 
 ROLL = 32 << 20
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _START = re.compile(rb"\x1f\x8b\x08|WARC/1\.[01]\r\n")
+_VERSION = re.compile(rb"WARC/1\.[01]\r\n")
 _CHUNK = 1 << 18
+LARGEST = 256 << 20  # bytes of a record
+NONE = "<urn:page-none>"  # stands for a null identifier
 
 
 def digest32(data: bytes) -> str:
     return "sha1:" + base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
-def record(kind: str, ident: str, url: str | None, payload: bytes, refers_to: str | None = None) -> bytes:
+def urn(ident: str | None) -> str:
+    return NONE if ident is None else f"<urn:page:{quote(ident, safe='')}>"
+
+
+def of_urn(v: str | None) -> str | None:
+    if v == NONE:
+        return None
+    return unquote(v[10:-1]) if v and v.startswith("<urn:page:") else v
+
+
+def record(kind: str, ident: str | None, url: str | None, payload: bytes, refers_to: str | None = None) -> bytes:
     """One record's bytes, not compressed."""
     head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = head + (payload if kind == "response" else b"")
-    lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:page:{quote(ident, safe='')}>", f"WARC-Date: {DATE}"]
+    lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {urn(ident)}", f"WARC-Date: {DATE}"]
     if url is not None:
         lines.append("WARC-Target-URI: " + quote(url, safe="%/:=&?~#+!$,;'@()*[]"))
     if kind == "revisit":
-        lines += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: <urn:page:{quote(refers_to or '', safe='')}>"]
+        lines += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {urn(refers_to)}"]
     lines += [f"WARC-Payload-Digest: {digest32(payload)}", f"WARC-Block-Digest: {digest32(block)}", "Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
-    return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+    whole = "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+    if len(whole) > LARGEST:
+        raise ValueError(f"a record of {len(whole)} bytes is larger than {LARGEST}")
+    return whole
 
 
 class Broken(ValueError):
@@ -70,7 +90,7 @@ class Broken(ValueError):
 
 def parse(data: bytes, whole: bool) -> tuple[dict[str, str], bytes, int]:
     """Headers, block and length of the record that data begins with. whole: data holds nothing else."""
-    if not re.match(rb"WARC/1\.[01]\r\n", data):
+    if not _VERSION.match(data):
         raise Broken("no version line")
     end = data.find(b"\r\n\r\n")
     if end < 0:
@@ -119,7 +139,8 @@ class _Source:
         return bytes(self.data[offset - self.base : offset - self.base + n])
 
     def drop(self, offset: int) -> None:
-        if offset - self.base > 4 * _CHUNK:
+        """What is before offset is not needed again; it goes once it is worth the copying of the rest."""
+        if offset - self.base > max(4 * _CHUNK, len(self.data) // 2):
             del self.data[: offset - self.base]
             self.base = offset
 
@@ -132,6 +153,7 @@ class _Source:
             if self.ended:
                 return self.base + len(self.data)
             offset = max(offset, self.base + len(self.data) - 10)
+            self.drop(offset)
 
 
 def _one(source: _Source, at: int) -> tuple[dict[str, str], bytes, int]:
@@ -142,25 +164,35 @@ def _one(source: _Source, at: int) -> tuple[dict[str, str], bytes, int]:
             part = source.get(k, _CHUNK)
             if not part:
                 raise Broken("member is cut off")
-            try:
-                out += z.decompress(part)
-            except zlib.error as e:
-                raise Broken(f"gzip: {e}") from None
             k += len(part)
-            if len(out) > 12 and not out.startswith(b"WARC/1."):
-                raise Broken("no version line")
+            while part and not z.eof:
+                try:
+                    out += z.decompress(part, 16 * _CHUNK)
+                except zlib.error as e:
+                    raise Broken(f"gzip: {e}") from None
+                part = z.unconsumed_tail
+                if len(out) > 12 and not out.startswith(b"WARC/1."):
+                    raise Broken("no version line")
+                if len(out) > LARGEST:
+                    raise Broken(f"unpacks to more than {LARGEST} bytes")
+            if k - at > LARGEST:
+                raise Broken(f"more than {LARGEST} bytes packed")
         fields, block, _ = parse(bytes(out), True)
         return fields, block, k - len(z.unused_data)
+    if not _VERSION.match(source.get(at, 10)):
+        raise Broken("no version line")
     n = _CHUNK
     while True:
         data = source.get(at, n)
         end = data.find(b"\r\n\r\n")
         if end >= 0 and (m := re.search(rb"(?i)\r\ncontent-length:[ \t]*(\d{1,15})[ \t]*\r\n", data[: end + 4])):
             need = end + 8 + int(m[1])
+            if need > LARGEST:
+                raise Broken(f"claims more than {LARGEST} bytes")
             if len(data) < need and source.upto(at + need):
                 data = source.get(at, need)
             break
-        if end >= 0 or len(data) < n or n > 64 * _CHUNK:
+        if end >= 0 or len(data) < n or n >= 4 * _CHUNK:
             break
         n *= 2
     fields, block, length = parse(data, False)
@@ -177,6 +209,7 @@ def salvage(stream) -> Iterator[tuple]:
             if gap is None:
                 gap, why = at, str(e)
             at = source.find(at + 1)
+            source.drop(at)
             continue
         if gap is not None:
             yield "gap", gap, at, why, None
@@ -188,6 +221,12 @@ def salvage(stream) -> Iterator[tuple]:
         yield "gap", gap, at, why, None
 
 
+def _rows(batch: pa.RecordBatch) -> Iterator[tuple]:
+    """One row at a time: payloads are large."""
+    for k in range(batch.num_rows):
+        yield tuple(c[k].as_py() for c in batch.columns)
+
+
 def _store(uri: str):
     from pyarrow.fs import FileSystem
 
@@ -195,18 +234,18 @@ def _store(uri: str):
 
 
 def marked(pages: DataFrame, id_col: str, url_col: str, body_col: str, at_least: int) -> DataFrame:
-    """ident, url, body, refers_to (null: a response) of each page."""
-    ident, body = F.col(id_col), F.coalesce(F.col(body_col).cast("string"), F.lit(""))
+    """ident, url, body, refers_to, again (a revisit) of each page."""
+    pages, ident, url, body = positional(pages, id_col, url_col, body_col)
+    ident, body = F.col(ident), F.coalesce(F.col(body).cast("string"), F.lit(""))
     light = pages.select(F.monotonically_increasing_id().alias("rid"), ident.alias("id"), F.sha1(body).alias("sha"), F.octet_length(body).alias("n_bytes"))
-    key = lambda i: F.concat_ws("|", F.coalesce(i.cast("string"), F.lit("null")), F.col("sha"), F.col("n_bytes"))
-    best = elect(frozen(light, "payloads"), ["sha", "n_bytes"]).withColumn("k", key(F.col("id")))
+    key = row_key(F.col("id"), F.col("sha"), F.col("n_bytes"))
+    best = elect(frozen(light, "payloads"), ["sha", "n_bytes"]).withColumn("k", key)
     best = best.groupBy("k").agg(F.max("top_id").alias("top_id"), F.max(F.col("rid") == F.col("top_rid")).alias("is_top"))
-    rows = pages.select(ident.alias("id"), F.col(url_col).alias("url"), body.alias("body")).withColumn("sha", F.sha1("body")).withColumn("n_bytes", F.octet_length("body"))
-    rows = rows.withColumn("k", key(F.col("id"))).join(best, "k")
+    rows = pages.select(ident.alias("id"), F.col(url).alias("url"), body.alias("body")).withColumn("sha", F.sha1("body")).withColumn("n_bytes", F.octet_length("body"))
+    rows = rows.withColumn("k", key).join(best, "k")
     rows = rows.withColumn("nth", F.row_number().over(Window.partitionBy("k").orderBy("url")))
     response = (F.col("n_bytes") < at_least) | (F.col("is_top") & (F.col("nth") == 1))
-    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    return rows.select(text("id").alias("ident"), "url", "body", F.when(~response, text("top_id")).alias("refers_to"))
+    return rows.select(F.col("id").cast("string").alias("ident"), "url", "body", F.when(~response, F.col("top_id").cast("string")).alias("refers_to"), (~response).alias("again"))
 
 
 def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", body_col: str = "html", at_least: int = 0, roll: int = ROLL) -> DataFrame:
@@ -222,12 +261,12 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
             return pa.RecordBatch.from_pydict({"path": [f"{path}/{name}"], "n_records": [n], "n_bytes": [size]})
 
         for b in batches:
-            for ident, url, body, refers_to in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
+            for ident, url, body, refers_to, again in _rows(b):
                 if out is None:
                     name, n, size = f"{uuid.uuid4().hex}.warc.gz", 0, 0
                     out = store.open_output_stream(f"{folder}/{name}", compression=None)
                 z = zlib.compressobj(4, zlib.DEFLATED, 31)
-                kind = "response" if refers_to is None else "revisit"
+                kind = "revisit" if again else "response"
                 member = z.compress(record(kind, ident, url, body.encode(), refers_to)) + z.flush()
                 out.write(member)
                 n, size = n + 1, size + len(member)
@@ -249,9 +288,6 @@ def read_warc(archives: DataFrame, path_col: str = "path", with_payload: bool =
     """A row a record, and a row a quarantined gap (gap: the reason)."""
     names = [f.name for f in T._parse_datatype_string(RECORDS).fields]
 
-    def urn(v: str | None) -> str | None:
-        return unquote(v[10:-1]) if v and v.startswith("<urn:page:") else v
-
     def rows(path: str) -> Iterator[tuple]:
         store, name = _store(path)
         with store.open_input_stream(name, compression=None) as stream:
@@ -267,7 +303,7 @@ def read_warc(archives: DataFrame, path_col: str = "path", with_payload: bool =
                     n = int(m[1]) if m else None
                 elif fields.get("warc-type") == "response":
                     digest = digest32(body)
-                yield path, start, end, None, fields.get("warc-type"), urn(fields.get("warc-record-id")), fields.get("warc-target-uri"), digest, urn(fields.get("warc-refers-to")), n, body if with_payload else None
+                yield path, start, end, None, fields.get("warc-type"), of_urn(fields.get("warc-record-id")), fields.get("warc-target-uri"), digest, of_urn(fields.get("warc-refers-to")), n, body if with_payload else None
 
     types = dict(zip(names, [pa.string(), pa.int64(), pa.int64(), *[pa.string()] * 6, pa.int64(), pa.binary()], strict=True))
 
@@ -293,7 +329,7 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     kind = pages.schema["page_id"].dataType
     records = read_warc(write_warc(pages, scratch_path(spark, "warc")), with_payload=False).where("gap IS NULL")
-    ident = lambda c: F.when(F.col(c) != "", F.col(c)).cast(kind)
+    ident = lambda c: F.col(c).cast(kind)
     return records.select(
         ident("record_id").alias("page_id"), "payload_bytes", F.regexp_replace("digest", "^sha1:", "").alias("payload_digest"),
         F.col("type").alias("record_type"), ident("refers_to").alias("refers_to"),

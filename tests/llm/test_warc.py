@@ -4,6 +4,8 @@ import hashlib
 import io
 import random
 
+import pytest
+
 from loomgraph.llm import warc
 from loomgraph.llm.common import scratch_path
 
@@ -24,7 +26,7 @@ def test_round_trip_and_revisits(spark):
     assert by["5"].type == "response" and by["1"].type == by["2"].type == "revisit" and by["1"].refers_to == "5" and by["1"].payload_bytes == 4
     assert by["3"].payload.decode() == "é" * 50_000 and by["3"].digest == "sha1:" + sha(by["3"].payload)
     assert by["6"].type == "response" and by["4"].refers_to == "6" and by["4"].digest == "sha1:" + sha(b"")
-    assert by[""].payload == b"none"
+    assert by[None].payload == b"none"
     assert sorted(r.type for r in got if r.record_id == "7") == ["response", "revisit"]
 
 
@@ -61,3 +63,55 @@ def test_truncated_tail():
     whole = b"".join(gzip.compress(warc.record("response", str(k), None, b"x" * 500)) for k in range(3))
     out = list(warc.salvage(io.BytesIO(whole[:-7])))
     assert [o[0] for o in out] == ["record", "record", "gap"] and "cut off" in out[-1][3]
+
+
+def test_absurd_length_is_a_gap(monkeypatch):
+    good = [warc.record("response", str(k), None, b"x" * 3000) for k in range(400)]
+    lie = b"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 999999999999\r\n\r\n"
+    data, held = lie + b"".join(good), []
+    source = warc._Source.upto
+    monkeypatch.setattr(warc._Source, "upto", lambda self, at: (source(self, at), held.append(len(self.data)))[0])
+    out = list(warc.salvage(io.BytesIO(data)))
+    assert [o[0] for o in out] == ["gap"] + ["record"] * 400 and "claims more" in out[0][3]
+    assert max(held) < 8 * warc._CHUNK
+
+
+def test_long_gaps_are_let_go(monkeypatch):
+    held = []
+    source = warc._Source.upto
+    monkeypatch.setattr(warc._Source, "upto", lambda self, at: (source(self, at), held.append(len(self.data)))[0])
+    whole = warc.record("response", "1", None, b"x")
+    out = list(warc.salvage(io.BytesIO(whole + b"junk" * 10_000_000 + whole)))
+    assert [(o[0], o[2] - o[1]) for o in out] == [("record", len(whole)), ("gap", 40_000_000), ("record", len(whole))]
+    assert max(held) < 16 * warc._CHUNK
+
+
+def test_decompression_bomb_is_a_gap(monkeypatch):
+    monkeypatch.setattr(warc, "LARGEST", 1 << 20)
+    bomb = gzip.compress(b"WARC/1.1\r\nContent-Length: 300000000\r\n\r\n" + bytes(300_000_000))
+    good = gzip.compress(warc.record("response", "1", None, b"fine"))
+    out = list(warc.salvage(io.BytesIO(bomb + good)))
+    assert [o[0] for o in out] == ["gap", "record"] and "unpacks" in out[0][3]
+
+
+def test_records_above_the_bound_are_not_written(monkeypatch):
+    monkeypatch.setattr(warc, "LARGEST", 1000)
+    with pytest.raises(ValueError, match="larger than"):
+        warc.record("response", "1", None, b"x" * 1000)
+
+
+def test_damaged_length_across_chunks():
+    whole = warc.record("response", "1", None, random.Random(1).randbytes(3 * warc._CHUNK + 17))
+    n = b"Content-Length: %d\r\n\r\n" % (len(whole) - whole.index(b"\r\n\r\n") - 8)
+    assert n in whole
+    for wrong in (1, warc._CHUNK, 3 * warc._CHUNK, 10 * warc._CHUNK):
+        data = whole.replace(n, b"Content-Length: %d\r\n\r\n" % wrong, 1) + whole
+        out = list(warc.salvage(io.BytesIO(data)))
+        assert out[0][0] == "gap" and out[-1][0] == "record" and len(out[-1][4]) > 3 * warc._CHUNK
+        assert [o[1] for o in out[1:]] == [o[2] for o in out[:-1]] and out[-1][2] == len(data)
+
+
+def test_empty_identifier_is_not_null(spark):
+    pages = spark.createDataFrame([("", "u", "same"), (None, "u", "same"), ("a%b>", "u", "other")], "page_id string, url string, html string")
+    got = {r.record_id: (r.type, r.refers_to) for r in warc.read_warc(warc.write_warc(pages, scratch_path(spark, "t"))).collect()}
+    assert got == {"": ("response", None), None: ("revisit", ""), "a%b>": ("response", None)}
