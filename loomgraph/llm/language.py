@@ -11,7 +11,9 @@ is the tree of each: it is fitted on `SAMPLE` documents of the language (first i
 the order of a hash of doc_id, among those whose text has a letter), and of a
 longer document on its first `SAMPLE_BYTES` bytes. Languages are fitted and scored
 `TOGETHER` at a time, each in columns of its own, so what is broadcast grows with
-the number of languages and not with its square. Held-out rows are never fitted on.
+the number of languages and not with its square; each of these broadcasts has
+`LARGEST` bytes at most: if there are more grams, the rarest of the longest go
+first, then of the next. Held-out rows are never fitted on.
 
 Defined results: a null text or one without a letter is `und` with score 0, as
 is all text if there is no labelled row; ties go to the first language by name;
@@ -29,10 +31,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import backoff
-from .common import documents, frozen, ship
+from .common import documents, frozen, positional, ship
 
 ORDER = 4
 SAMPLE, SAMPLE_BYTES, TOGETHER = 250, 32_768, 16
+LARGEST = 128 << 20  # bytes of a model of TOGETHER languages
 UNKNOWN = "und"
 PAD = b"\n" * ORDER
 
@@ -51,7 +54,7 @@ def stream_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return stream, np.flatnonzero(keep), sizes
 
 
-def fit(sample: list[tuple[str, str]]) -> tuple[list[str], backoff.Backoff]:
+def fit(sample: list[tuple[str, str]], most: int = LARGEST) -> tuple[list[str], backoff.Backoff]:
     """Languages and their model from (language, text)."""
     names = sorted({lang for lang, _ in sample})
     counts: dict[int, list] = {m: [] for m in range(1, ORDER + 2)}
@@ -64,7 +67,22 @@ def fit(sample: list[tuple[str, str]]) -> tuple[list[str], backoff.Backoff]:
             column[:, k] = n
             counts[m].append((g, column))
     merged = {m: backoff._group(np.concatenate([g for g, _ in parts]), np.concatenate([c for _, c in parts])) for m, parts in counts.items()}
-    return names, backoff.ppm(merged)
+    return names, backoff.ppm(bounded(merged, most))
+
+
+def bounded(counts: dict[int, tuple[np.ndarray, np.ndarray]], most: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """The counts without as many of the rarest of the longest grams as a model of `most` bytes has no place for. Each gram
+    takes 8 bytes and 8 for each class; its context and suffix may need rows besides."""
+    row = 8 * (1 + next(iter(counts.values()))[1].shape[1])
+    for m in sorted(counts, reverse=True):
+        over = sum(len(g) for g, _ in counts.values()) - most // (2 * row)
+        if over <= 0 or m == 1:
+            break
+        g, c = counts[m]
+        total = c.sum(1)
+        least = np.sort(total)[min(over, len(total)) - 1]  # all of one count stay or go together
+        counts[m] = g[total > least], c[total > least]
+    return counts
 
 
 def code_lengths(model: backoff.Backoff, texts: list[str], chunk: int = 1 << 20) -> np.ndarray:
@@ -123,13 +141,14 @@ def fit_all(sample: DataFrame, most: int, together: int = TOGETHER) -> list[tupl
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", fold: int = 5, held: int = 0, n: int = SAMPLE, most: int = SAMPLE_BYTES) -> DataFrame:
     """One row per document: identifier, held_out, lang_pred, score."""
     ship(docs.sparkSession)
-    ident = F.col(id_col)
+    whole, ident, text, lang = positional(docs, id_col, text_col, lang_col)
+    ident = F.col(ident)
     out = F.coalesce(remainder(ident, fold) == held, F.lit(True))
-    learn = docs.where(~out)
-    sample = sampled(learn, ident, F.col(lang_col).cast("string"), F.col(text_col), n, most)
+    learn = whole.where(~out)
+    sample = sampled(learn, ident, F.col(lang).cast("string"), F.col(text), n, most)
     shared = [docs.sparkSession.sparkContext.broadcast(x) for x in fit_all(sample, most)]
     names = [name for x in shared for name in x.value[0]]
-    rows = docs.select(ident.alias("id"), out.alias("held_out"), F.col(text_col).alias("text"))
+    rows = whole.select(ident.alias("id"), out.alias("held_out"), F.col(text).alias("text"))
     schema = rows.select("id", "held_out", F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")).schema
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -144,8 +144,8 @@ def test_shared_counts_have_four_bytes_of_all_documents(docs_of):
     want = Counter()
     for t in texts:
         for w in toxicity.distinct_words(t or ""):
-            padded = b" " * 4 + w + b" "
-            want.update(int.from_bytes(padded[i - 3 : i + 1], "big") for i in range(4, len(padded)))
+            padded = b" " * (toxicity.LONGEST - 1) + w + b" "
+            want.update(int.from_bytes(padded[i - 3 : i + 1], "big") for i in range(toxicity.LONGEST - 1, len(padded)))
     g, n = toxicity.shared_counts(docs_of([(k, t, None, "s") for k, t in enumerate(texts)]), "text")
     assert dict(zip(g.tolist(), n.tolist(), strict=True)) == want
 
@@ -159,3 +159,56 @@ def test_kneser_ney_sums_to_one():
     stream = np.frombuffer(b"".join(b"ab" + bytes([c]) for c in range(256)), np.uint8)
     bits = model.score(stream, np.arange(2, len(stream), 3))
     assert np.allclose(np.exp2(-bits.astype(float)).sum(0), 1, atol=1e-3)
+
+
+def test_expressions_against_brute_force():
+    """Probabilities of words and pairs straight from counts; those of all words and a remainder for the unseen add up to 1."""
+    rng = random.Random(6)
+    vocabulary = [f"w{k}".encode() for k in range(12)]
+    texts = [[" ".join(w.decode() for w in rng.choices(vocabulary, k=9)) for _ in range(20)] for _ in range(2)]
+    made = [toxicity.once(t) for t in texts]
+    words = sorted(set(made[0][0]) | set(made[1][0]))
+    pairs = sorted(set(made[0][1]) | set(made[1][1]))
+    left, right = (np.array([p[k] for p in pairs], np.uint64) for k in (0, 1))
+    e = toxicity.Expressions(toxicity.word_hash(words), np.array([[m[0][w] for m in made] for w in words]), left, right, np.array([[m[1][p] for m in made] for p in pairs]))
+    index, pair_index, first_index = e.index()
+    base = np.full((len(words), 2), 0.01)
+    got = e.of_words(index.lookup(toxicity.word_hash(words)), base)
+    for c, (n, two) in enumerate(made):
+        total, d = sum(n.values()), toxicity.DISCOUNT
+        want = [max(n[w] - d, 0) / total + d * len(n) / total * 0.01 for w in words]
+        assert np.allclose(got[:, c], want)
+        assert math.isclose(sum(max(n[w] - d, 0) / total for w in words) + d * len(n) / total, 1)
+        h = dict(zip(toxicity.word_hash(words).tolist(), range(len(words)), strict=True))
+        for v, w in pairs[:40]:
+            row, at = pair_index.lookup(toxicity.pair_hash(*(np.array([x], np.uint64) for x in (v, w)))), first_index.lookup(np.array([v], np.uint64))
+            after = {b: k for (a, b), k in two.items() if a == v}
+            lower = got[h[w]]
+            total = sum(after.values())
+            p = max(after.get(w, 0) - d, 0) / total + d * len(after) / total * lower[c] if total else lower[c]
+            assert math.isclose(e.of_pairs(row, at, lower[None, :])[0, c], p)
+
+
+def test_pairs_tell_where_words_do_not(spark, docs_of):
+    rng = random.Random(3)
+    plain = "the of and to in that was for with his they from this have".split()
+    rows, labels = [], []
+    for k in range(300):
+        w = [rng.choice(plain) for _ in range(30)]
+        at = rng.randrange(28)
+        w[at : at + 2] = ["cold", "fish"] if k % 3 == 0 else ["fish", "cold"]
+        rows.append((k, " ".join(w), "en", "s"))
+        labels.append((k, int(k % 3 == 0)))
+    got = toxicity.toxicity(docs_of(rows), spark.createDataFrame(labels, "doc_id long, toxic int")).collect()
+    held = [r for r in got if r.held_out]
+    assert sum(r.predicted == dict(labels)[r.doc_id] for r in held) / len(held) > 0.95
+
+
+def test_language_model_is_bounded():
+    texts = [("en", "the cat sat on the mat " * 5), ("de", "der hund und die katze " * 5)]
+    names, whole = language.fit(texts)
+    _, small = language.fit(texts, most=4000)
+    size = lambda m: sum(len(g) for g in m.grams[1:])
+    assert size(small) < size(whole) and len(small.grams) == len(whole.grams)
+    bits = language.code_lengths(small, ["the cat", "die katze"])
+    assert [names[k] for k in bits.argmin(1)] == ["en", "de"]
