@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, frozen, word_count
+from .common import documents, frozen, positional, row_key, word_count
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -68,13 +68,14 @@ def ranked(rows: DataFrame) -> DataFrame:
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", extra: dict | None = None, **how) -> DataFrame:
-    """One row per document: identifier, size, source_size, target, copies, taken (and `extra` columns)."""
-    source = F.col(source_col).cast("string")
+    """One row per document: identifier, size, source_size, target, copies, taken (and `extra` columns, made of identifier and text)."""
+    docs, ident, text, source = positional(docs, id_col, text_col, source_col)
+    source = F.col(source).cast("string")
     rows = docs.select(
-        F.col(id_col).alias("id"), source.alias("source"), word_count(F.col(text_col)).alias("size"),
-        F.coalesce(F.concat(F.lit("s"), source), F.lit("n")).alias("skey"), *[c.alias(k) for k, c in (extra or {}).items()],
+        F.col(ident).alias("id"), source.alias("source"), word_count(F.col(text)).alias("size"),
+        F.coalesce(F.concat(F.lit("s"), source), F.lit("n")).alias("skey"), *[c(F.col(ident), F.col(text)).alias(k) for k, c in (extra or {}).items() if c],
     )
-    rows = ranked(rows)
+    rows = ranked(frozen(rows, "sizes"))  # frozen: the ranges are found and dealt in two passes, and only one counts words
     sources = rows.groupBy("skey").agg(F.first("source").alias("source"), F.sum("size").alias("source_size"))
     rows = rows.join(source_targets(sources, **how), "skey")
     upto = lambda k: F.floor(k * F.col("rate") + F.col("offset"))
@@ -86,15 +87,17 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
     """The mix itself: each document of docs as often as it is taken, all columns."""
-    key = F.xxhash64(F.col(id_col), F.col(text_col), F.col(source_col).cast("string"))
-    # Rows that agree in all three share their copies evenly.
-    taken = mix(docs, id_col, text_col, source_col, {"__lg_key": key}, **how).where("copies > 0")
-    taken = taken.groupBy("__lg_key").agg(F.sum("copies").alias("__lg_c"))
-    one = Window.partitionBy("__lg_key").orderBy(F.col(id_col))
-    counted = docs.withColumn("__lg_key", key).join(taken, "__lg_key")
-    counted = counted.withColumn("__lg_i", F.row_number().over(one)).withColumn("__lg_m", F.count(F.lit(1)).over(Window.partitionBy("__lg_key")))
-    share = F.floor(F.col("__lg_c") / F.col("__lg_m")) + F.when(F.col("__lg_i") <= F.col("__lg_c") % F.col("__lg_m"), 1).otherwise(0)
-    return counted.withColumn("__lg_e", F.explode(F.array_repeat(F.lit(1), share.cast("int")))).select(*docs.columns)
+    key = lambda ident, text: row_key(ident, F.hex(F.xxhash64(text)), F.octet_length(text))
+    # Rows that agree in identifier and text share their copies evenly, source by source.
+    rows, ident, text, source = positional(docs, id_col, text_col, source_col)
+    of = lambda c: F.coalesce(F.concat(F.lit("s"), c.cast("string")), F.lit("n"))
+    taken = mix(rows, ident, text, source, {"k": key, "skey": None}, **how).where("copies > 0")
+    taken = taken.groupBy("k", "skey").agg(F.sum("copies").alias("n_copies"))
+    counted = rows.withColumns({"k": key(F.col(ident), F.col(text)), "skey": of(F.col(source))}).join(taken, ["k", "skey"])
+    one = Window.partitionBy("k", "skey")
+    counted = counted.withColumns({"nth": F.row_number().over(one.orderBy(ident)), "of": F.count(F.lit(1)).over(one)})
+    share = F.floor(F.col("n_copies") / F.col("of")) + F.when(F.col("nth") <= F.col("n_copies") % F.col("of"), 1).otherwise(0)
+    return counted.withColumn("copy", F.explode(F.array_repeat(F.lit(1), share.cast("int")))).select(*rows.columns).toDF(*docs.columns)
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
