@@ -8,7 +8,7 @@ whose shorter ones carry continuation counts). Below `SHARED` + 1 bytes both
 classes back off to one set of counts, gathered from the distinct words of all
 documents, labelled or not, so what neither class has seen says the same under
 both. An expression that labelled documents have fewer than twice is left to the
-byte models.
+byte models, a longest gram that they have once to the shorter ones.
 
 A document's two log-likelihoods over its distinct words are compared per symbol
 (length-normalised), and so are those of its most telling expressions, as one
@@ -51,7 +51,7 @@ from .language import remainder
 from .tables import HashIndex
 
 LONGEST, SHARED = 8, 4
-SAMPLE, SAMPLE_BYTES, CURVE = 4000, 32_768, 1500
+SAMPLE, SAMPLE_BYTES, CURVE = 3000, 16_384, 1000
 THRESHOLD = 0.3
 MEMORY = 300_000
 FOLDS, FEW = 5, 8
@@ -294,7 +294,7 @@ def first_by_hash(ids: DataFrame, n: int) -> DataFrame:
 
 
 def parted(counts: DataFrame, keys: list[str]) -> DataFrame:
-    """keys and the counts of each class and part, of what at least two labelled documents have."""
+    """keys and the counts of each class and part, of what is counted at least twice in all."""
     of = lambda y, k: F.sum(F.when((F.col("part") == k) & (F.col("y") == y), F.col("n")).otherwise(0)).alias(f"y{y}p{k}")
     return counts.groupBy(*keys).agg(F.sum("n").alias("n"), *[of(y, k) for y in (1, 0) for k in range(FOLDS)]).where("n > 1").drop("n")
 
@@ -343,12 +343,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_co
                 yield pa.RecordBatch.from_arrays([same(y, pa.int32()), same(k, pa.int32()), pa.array(np.arange(len(left)) >= len(words)), pa.array(left.view(np.int64)), pa.array(right.view(np.int64)), pa.array(n)], ["y", "part", "pair", "a", "b", "n"])
 
     sample = rows.select("text", "y", "part")
-    got = sample.mapInArrow(count_bytes, "y int, part int, g long, n long").groupBy("y", "part", "g").agg(F.sum("n").alias("n")).toArrow()
-    y, part, g, c = (got.column(k).to_numpy() for k in ("y", "part", "g", "n"))
-    g = g.view(np.uint64)
-    counts = np.zeros((len(g), 2), np.int64)
-    counts[y == 1, 0], counts[y == 0, 1] = c[y == 1], c[y == 0]
-    if not (counts.sum(0) > 0).all():
+    got = parted(sample.mapInArrow(count_bytes, "y int, part int, g long, n long"), ["g"]).toArrow()
+    g, counts = got.column("g").to_numpy().view(np.uint64), by_part(got)
+    if not counts.any((0, 2)).all():
         return None, share
     told = parted(sample.mapInArrow(count_words, "y int, part int, pair boolean, a long, b long, n long"), ["pair", "a", "b"]).toArrow()
     pair, told_n = told.column("pair").to_numpy(zero_copy_only=False), by_part(told)
@@ -358,12 +355,13 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_co
 
     def models(but: int | None):
         """Broadcast models of all parts but one."""
-        some, parts = part != but, [k for k in range(FOLDS) if k != but]
-        kept = told_n[:, :, parts].sum(2)
+        parts = [k for k in range(FOLDS) if k != but]
+        grams = counts[:, :, parts].sum(2)
+        some, kept = grams.sum(1) > 1, told_n[:, :, parts].sum(2)
         some_n = kept.sum(1) > 1  # counted without the part that is left out, as for a new document
         word, two = some_n & ~pair, some_n & pair
         expressions = Expressions(b[word], kept[word], a[two], b[two], kept[two])
-        return sc.broadcast((make_model(g[some], counts[some], shared), expressions))
+        return sc.broadcast((make_model(g[some], grams[some], shared), expressions))
 
     sent = models(None)
     if min(n_of.values()) < FEW:
@@ -371,7 +369,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_co
     few = F.col("h") < F.when(F.col("y") == 1, F.lit(cut(rows, 1))).otherwise(F.lit(cut(rows, 0)))
     found = []
     for k in range(FOLDS):
-        if not all((counts[part != k, j] > 0).any() for j in (0, 1)):
+        if not np.delete(counts, k, 2).any((0, 2)).all():
             continue  # all of a class is in this part
         model = models(k)
 
