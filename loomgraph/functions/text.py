@@ -8,7 +8,8 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-ANSI, LOG_PREFIX = r"\x1b\[[0-9;]*[A-Za-z]", r"^\[(INFO|WARNING|ERROR|DEBUG)\]\s?"
+#: Terminal colours, and the level in front of a build log's line.
+ANSI, LOG_PREFIX = r"\x1b\[[0-9;]*m", r"^\[(?:INFO|WARNING|ERROR|DEBUG)\]\s*"
 
 
 def fill_page(template: Column, page: Column) -> Column:
@@ -78,9 +79,22 @@ def in_folders(path: Column, names: list[str]) -> Column:
     return path.rlike(f"(^|/)({quoted})/")
 
 
-def summary_of_errors(log: str, most: int = 8) -> list[str]:
-    """The lines of a failed build that say most: errors first, then what looks like a cause, in order, once each."""
-    lines = [re.sub(LOG_PREFIX, "", re.sub(ANSI, "", x)).strip() for x in log.splitlines()]
-    ranked = [("ERROR", "BUILD FAILURE", "FATAL"), ("Could not", "Failed to", "Caused by", "cannot", "not found")]
-    hits = [x for marks in ranked for r, x in zip(log.splitlines(), lines, strict=True) if x and any(m in r for m in marks)]
-    return (list(dict.fromkeys(hits)) or [x for x in lines if x][-most:])[:most]
+#: What the lines of a failed build say that tell its cause, the most telling first.
+CAUSES = [
+    "No plugin found for prefix 'dependency'", "BUILD FAILURE", "Operation not permitted", "Failed to retrieve plugin descriptor", "Could not transfer metadata", "Failed to create parent directories",
+]
+
+
+def summary_of_errors(log: str, most: int = 8) -> str:
+    """A failed build in a line: for each cause its first line, then the lines that follow, telling ones if there are any,
+    up to `most`, once each. More causes than that leave a mark."""
+    lines = [x for x in (re.sub(LOG_PREFIX, "", re.sub(ANSI, "", line)).rstrip() for line in log.splitlines()) if x]
+    telling = [x for x in lines if any(c in x for c in CAUSES)]
+    firsts = [next((x for x in telling if c in x), None) for c in CAUSES]
+    picked = list(dict.fromkeys(x for x in firsts if x is not None))
+    for line in dict.fromkeys(telling or lines):
+        if len(picked) >= most:
+            break
+        if line not in picked:
+            picked.append(line)
+    return " | ".join(picked[:most] + ["... (truncated)"] * (len(picked) > most))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -67,11 +68,14 @@ def repository_profile(files: DataFrame) -> dict[str, DataFrame]:
 
 
 def markdown_table(rows: DataFrame, title: str | None = None, most: int = 10_000) -> str:
-    """A pipe table of a small result, in the driver."""
+    """A pipe table of a small result, in the driver. A table that is cut at `most` rows says so in its last line."""
     cell = lambda v: "" if v is None else str(v).replace("|", "\\|").replace("\n", " ")
+    held = rows.limit(most + 1).collect()
     lines = [f"## {title}", ""] if title else []
     lines += ["| " + " | ".join(map(cell, rows.columns)) + " |", "|" + " --- |" * len(rows.columns)]
-    lines += ["| " + " | ".join(cell(v) for v in r) + " |" for r in rows.limit(most).collect()]
+    lines += ["| " + " | ".join(cell(v) for v in r) + " |" for r in held[:most]]
+    if len(held) > most:
+        lines += ["", f"There are more than these {most} rows."]
     return "\n".join(lines) + "\n"
 
 
@@ -81,6 +85,38 @@ def checklist_markdown(title: str, tasks: DataFrame) -> str:
     return f"# {title}\n\nProgress: {p.percent if p else 0}%\n\nGate: {g.gate if g and g.gate else 'PENDING'}\n\n" + markdown_table(tasks.orderBy("task_id"))
 
 
-def json_report(rows: DataFrame, most: int = 100_000) -> str:
-    """A pretty JSON array of a small result, non-ASCII text as it is."""
-    return json.dumps([json.loads(x) for x in rows.limit(most).toJSON().collect()], ensure_ascii=False, indent=2)
+def json_report(rows: DataFrame) -> str:
+    """A pretty JSON array of a small result, non-ASCII text as it is, all rows."""
+    return json.dumps([json.loads(x) for x in rows.toJSON().collect()], ensure_ascii=False, indent=2)
+
+
+def clone_overview(members: DataFrame, advised: DataFrame, group_col: str = "group_id", first: int = 3) -> DataFrame:
+    """A row a group: members, the first few locations in order of uid, risk, recommendation, and how to see the rest."""
+    g = members.groupBy(group_col).agg(F.count(F.lit(1)).alias("member_count"), F.slice(F.array_sort(F.collect_list("uid")), 1, first).alias("locations"))
+    hint = F.when(F.col("member_count") > first, F.concat(F.lit("filter members by group "), F.col(group_col)))
+    return g.join(advised.select(group_col, "risk", "recommendation"), group_col).withColumn("hint", hint)
+
+
+def first_wins(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """Of the rows with equal keys the first in the order: a map that keeps what it was given first."""
+    return corpus.first_per_group(rows, keys, order, 1)
+
+
+def named(rows: DataFrame, key: str, names: DataFrame, name: str) -> DataFrame:
+    """rows with the name that `names` (key, name: one row a key) has for the key; the key itself where it has none."""
+    return rows.join(names.select(key, F.col(name).alias("__name")), key, "left").withColumn(name, F.coalesce("__name", F.col(key))).drop("__name")
+
+
+def path_groups(paths: DataFrame, min_occurrences: int = 2) -> DataFrame:
+    """key, occurrences, distinct_values, status and values of dependency paths (key, value, module, scope, direct, path):
+    for each value its places in order."""
+    place = F.struct("module", "path", "scope", F.when(F.col("direct"), "direct").otherwise("transitive").alias("relationship"))
+    by = paths.groupBy("key", "value").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(place)).alias("places"))
+    groups = by.groupBy("key").agg(F.sum("n").alias("occurrences"), F.count(F.lit(1)).alias("distinct_values"), F.array_sort(F.collect_list(F.struct("value", "n", "places"))).alias("values"))
+    return groups.where(F.col("occurrences") >= min_occurrences).withColumn("status", F.when(F.col("distinct_values") > 1, "conflict").otherwise("duplicate"))
+
+
+def path_audit(component: DataFrame, resolved: DataFrame, hints: DataFrame, min_occurrences: int = 2) -> DataFrame:
+    """kind and path_groups of the four kinds: component, effective, indirect, conflict hints (which count from one on)."""
+    kinds = {"component": (component, min_occurrences), "effective": (resolved, min_occurrences), "indirect": (resolved.where(~F.col("direct")), min_occurrences), "hint": (hints, 1)}
+    return reduce(DataFrame.unionByName, [path_groups(df, n).select(F.lit(k).alias("kind"), "*") for k, (df, n) in kinds.items()])

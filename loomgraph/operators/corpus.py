@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.shared import shared_folder
+
 # --- duplicate groups -------------------------------------------------------------------------------------------------
 
 
@@ -105,9 +107,16 @@ def close_pairs(units: DataFrame, uid_col: str, text_col: str, size_col: str, ha
     return both.mapInArrow(decide, f"l_uid {kind}, r_uid {kind}").distinct()
 
 
+def budget_used(units: DataFrame, uid_col: str, size_col: str, hash_col: str, budget: int) -> DataFrame:
+    """One row: compared (budget + 1 if there are more candidates than the budget), truncated."""
+    n = F.count(F.lit(1))
+    return candidate_pairs(units, uid_col, size_col, hash_col).limit(budget + 1).agg(n.alias("compared"), (n > budget).alias("truncated"))
+
+
 def similar_pairs(units: DataFrame, uid_col: str, text_col: str, size_col: str, hash_col: str, threshold: float = 0.9, budget: int | None = 50_000, autojunk: bool = True) -> DataFrame:
     """l_uid, r_uid, similarity of candidate pairs at or above the threshold. budget: so many pairs are compared at most
-    (a setting of the operator), the first in (size, uid) order of left and right; None decides all of them."""
+    (a setting of the operator; `budget_used` tells whether it cut), the first in (size, uid) order of left and right; None
+    decides all of them."""
     if budget is None:
         pairs = close_pairs(units, uid_col, text_col, size_col, hash_col, threshold)
     else:
@@ -126,11 +135,7 @@ def similar_pairs(units: DataFrame, uid_col: str, text_col: str, size_col: str,
 def connected_components(edges: DataFrame, a: str, b: str, most: int = 100) -> DataFrame:
     """uid, component (the smallest uid) by min-label propagation with pointer jumping.
     Lineage is cut with checkpoint(), in the folder of spark.checkpoint.dir."""
-    sc = edges.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        import tempfile
-
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="loomgraph-"))
+    shared_folder(edges.sparkSession)
     both = edges.select(F.col(a).alias("x"), F.col(b).alias("y")).union(edges.select(F.col(b), F.col(a))).distinct().checkpoint()
     labels = both.groupBy("x").agg(F.least(F.col("x"), F.min("y")).alias("label")).checkpoint()
     for _ in range(most):
@@ -171,7 +176,8 @@ def reachable(dependencies: DataFrame, internal: DataFrame) -> DataFrame:
     """consumer, dependency, path: what each module reaches through internal modules, its direct dependencies left out.
 
     dependencies (module, key); internal (key): modules that are expanded. A dependency that is on the path already
-    gives a row but is not followed; one equal to the consumer is skipped.
+    gives a row but is not followed; one equal to the consumer is skipped. All simple paths are rows, so this is for
+    module trees; beyond spark.sql.cteRecursionLevelLimit levels or cteRecursionRowLimit rows Spark raises, nothing is cut.
     """
     deps, mods = dependencies.select("module", "key").distinct(), internal.select("key").distinct()
     spark = dependencies.sparkSession
@@ -195,15 +201,23 @@ def direct_flag(paths: DataFrame, declared: DataFrame) -> DataFrame:
 
 # --- rule scans -------------------------------------------------------------------------------------------------------
 
-#: Rule, severity, pattern, advice.
-RULES = [
-    ("absolute-posix-path", "high", r"(?<![\w.])/(Users|home|private|var|opt|tmp|data|mnt|Volumes|srv)/[A-Za-z0-9._~@%+=,:/\-]+", "Replace legacy filesystem paths with target configuration, storage abstraction, or repo-relative resources."),
-    ("windows-absolute-path", "high", r"[A-Za-z]:\\+[A-Za-z0-9._~ @%+=,:\\\-]+", "Replace legacy Windows paths with target configuration or path abstraction."),
-    ("file-url", "high", r"file:///[A-Za-z0-9._~@%+=,:/\-]+", "Avoid file:// legacy paths in target code; use target storage/configuration conventions."),
-    ("hard-coded-localhost-url", "medium", r"https?://(localhost|127\.0\.0\.1|0\.0\.0\.0)(:[0-9]+)?(/[A-Za-z0-9._~@%+=,:/?#&\-]*)?", "Use target environment configuration or test fixtures instead of hard-coded local endpoints."),
-    ("probable-fully-qualified-name", "medium", r"\b[a-z][a-z0-9_]*(?:\.[a-z][a-z0-9_]*){3,}\.[A-Z][A-Za-z0-9_]*\b", "Review fully qualified names copied from source; prefer target imports, adapters, or target-owned interfaces."),
+#: Rule, severity, pattern.
+PATTERNS = [
+    ("absolute-posix-path", "high", r"(?<![\w.])/(Users|home|private|var|opt|tmp|data|mnt|Volumes|srv)/[A-Za-z0-9._~@%+=,:/\-]+"),
+    ("windows-absolute-path", "high", r"[A-Za-z]:\\+[A-Za-z0-9._~ @%+=,:\\\-]+"),
+    ("file-url", "high", r"file:///[A-Za-z0-9._~@%+=,:/\-]+"),
+    ("hard-coded-localhost-url", "medium", r"https?://(localhost|127\.0\.0\.1|0\.0\.0\.0)(:[0-9]+)?(/[A-Za-z0-9._~@%+=,:/?#&\-]*)?"),
+    ("probable-fully-qualified-name", "medium", r"\b[a-z][a-z0-9_]*(?:\.[a-z][a-z0-9_]*){3,}\.[A-Z][A-Za-z0-9_]*\b"),
 ]
-TOKEN_ADVICE = "Legacy-specific token found in target code; map it to target naming/configuration or document explicit compatibility."
+ADVICE = {
+    "absolute-posix-path": "take the path from configuration, or make it relative",
+    "windows-absolute-path": "take the path from configuration, so that it holds on any system",
+    "file-url": "address the file through the storage that the target uses",
+    "hard-coded-localhost-url": "name the host in configuration or in a test fixture",
+    "probable-fully-qualified-name": "check whether this name still exists; import what the target has instead",
+}
+RULES = [(*p, ADVICE[p[0]]) for p in PATTERNS]
+TOKEN_ADVICE = "a word of the old system: rename it, or note why it stays"
 SEVERITIES = ["low", "medium", "high"]
 #: Line breaks as a text's splitlines sees them.
 LINE_BREAK = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85  ]"
@@ -318,8 +332,10 @@ def first_per_group(rows: DataFrame, by: list[str], order: list, n: int) -> Data
 # --- tree logs --------------------------------------------------------------------------------------------------------
 
 
-def tree_parents(lines: DataFrame, group: str, line: str, depth: str, name: str, deepest: int = 12) -> DataFrame:
-    """lines with parent (name of the nearest line above with depth - 1) and path from the root, by windows."""
+def tree_parents(lines: DataFrame, group: str, line: str, depth: str, name: str) -> DataFrame:
+    """lines with parent (name of the nearest line above with depth - 1) and tree_path from the root, by windows: one for
+    each depth that occurs, which a first pass over the depths finds out."""
+    deepest = lines.agg(F.max(depth)).first()[0] or 0
     upto = Window.partitionBy(group).orderBy(line).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     last = [F.last(F.when(F.col(depth) == d, F.col(name)), ignorenulls=True).over(upto) for d in range(deepest + 1)]
     rows = lines.withColumn("__last", F.array(*last))
@@ -339,6 +355,3 @@ def fingerprint_join(listing: DataFrame, snapshot: DataFrame, key: str, marks: l
     old = snapshot.select(F.col(key).alias("__key"), *[F.col(m).alias(f"__{m}") for m in marks])
     j = listing.join(old, reduce(lambda a, b: a & b, [F.col(key) == F.col("__key"), *same]), "left")
     return j.withColumn("fresh", F.col("__key").isNotNull()).drop("__key", *[f"__{m}" for m in marks])
-
-
-Rows = Iterator[pd.DataFrame]

@@ -51,7 +51,7 @@ class _Plan:
         return F.col(self.name(alias, key))
 
     def _filters(self, alias: str, spec: Node | Edge, table) -> Column | None:
-        wanted = ([("id", "EQ", spec.id)] if spec.id is not None else []) + [(k, "EQ", v) for k, v in spec.properties.items()] + list(self.tests.get(alias, []))
+        wanted = ([("id", "EQ", spec.id)] if spec.id is not None else []) + [(k, "EQ", v) for k, v in spec.properties.items()] + [*self.query.tests.get(alias, ()), *self.tests.get(alias, ())]
         types = dict(zip(table.frame.columns, (f.dataType for f in table.frame.schema), strict=True))
         tests = []
         for key, operator, value in wanted:

@@ -7,6 +7,8 @@ from itertools import count
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.shared import shared_folder
+
 
 def walks(edges: DataFrame, a: str, b: str, least: int, most: int) -> DataFrame:
     """a, b, hops of all walks of least to most edges in which no edge repeats, unrolled to so many joins."""
@@ -27,8 +29,9 @@ def walks(edges: DataFrame, a: str, b: str, least: int, most: int) -> DataFrame:
 def shortest_paths(edges: DataFrame, a: str, b: str, most: int | None = None) -> DataFrame:
     """a, b, hops of the shortest path between each two different connected nodes: breadth first from all of them.
     Stops when a round finds nothing new. most: raises if there are paths of more hops."""
+    shared_folder(edges.sparkSession)
     e = edges.select(F.col(a).alias("x"), F.col(b).alias("y")).distinct()
-    seen = e.where("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b"), F.lit(1).alias("hops")).checkpoint() if _checkpointed(edges) else None
+    seen = e.where("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b"), F.lit(1).alias("hops")).checkpoint()
     level = seen
     for hops in count(2):
         new = level.join(e, F.col("b") == F.col("x")).select("a", F.col("y").alias("b")).where("a <> b").distinct()
@@ -39,13 +42,3 @@ def shortest_paths(edges: DataFrame, a: str, b: str, most: int | None = None) ->
             raise RuntimeError(f"there are paths of more than {most} hops")
         seen = seen.unionAll(level)
     return seen
-
-
-def _checkpointed(df: DataFrame) -> bool:
-    """Makes sure of a checkpoint folder: the session's, or a temporary one where none is set."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        import tempfile
-
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="loomgraph-"))
-    return True

@@ -15,6 +15,7 @@ from typing import Any
 from . import yaml_subset
 
 IDENTIFIER = re.compile(r"[A-Za-z_][A-Za-z0-9_]*")
+REQUEST_OPERATORS = ("EQ", "CONTAINS")
 DIRECTIONS, KINDS = ("OUTBOUND", "INBOUND", "UNDIRECTED"), ("PATH", "NODE", "EDGE")
 
 
@@ -72,6 +73,7 @@ class Query:
     paths: tuple
     items: tuple = ()
     limit: int | None = None
+    tests: dict = field(default_factory=dict)  # alias -> ((property, operator, value), ...) besides the equalities
 
     def walk(self, path: Path) -> list[str]:
         """The node aliases along a path."""
@@ -251,7 +253,7 @@ def check(query: Query, version: int | None = 1) -> list[Error]:
             add(f"{at}.ref", f"'{item.ref}' is in no path")
     for kind, held, used in (("nodes", query.nodes, used_nodes), ("edges", query.edges, used_edges)):
         for name, x in held.items():
-            if name not in used and (x.id is not None or x.properties):
+            if name not in used and (x.id is not None or x.properties or name in query.tests):
                 add(f"query.{kind}.{name}", f"'{name}' is filtered but in no path")
     if query.limit is not None and query.limit <= 0:
         add("query.limit", "limit must be greater than 0")
@@ -276,13 +278,31 @@ def from_request(request: dict) -> Query:
     q = request.get("pathQuery") or {}
     names = {n["alias"]: n for n in q.get("nodes", [])}
 
-    def filters(x: dict) -> dict:
-        return {c["property"]: c["value"] for c in x.get("conditions", []) if c.get("operator", "EQ").upper() == "EQ"}
+    tests, errors = {}, []
+
+    def note(alias: str, x: dict, where: str) -> None:
+        """Every condition becomes a test of the alias, repeated properties too."""
+        for k, c in enumerate(x.get("conditions") or []):
+            operator = str(c.get("operator") or "EQ").upper()
+            if not _is_name(c.get("property")):
+                errors.append(Error(f"{where}.conditions[{k}].property", "property must be a valid identifier"))
+            elif operator not in REQUEST_OPERATORS:
+                errors.append(Error(f"{where}.conditions[{k}].operator", f"operator must be one of {', '.join(REQUEST_OPERATORS)}"))
+            elif not _is_scalar(c.get("value")):
+                errors.append(Error(f"{where}.conditions[{k}].value", "must be a scalar value"))
+            else:
+                tests.setdefault(alias, []).append((c["property"], operator, c.get("value")))
 
-    nodes = {a: Node((n["entityType"],) if n.get("entityType") else (), None, filters(n)) for a, n in names.items()}
+    nodes = {a: Node((n["entityType"],) if n.get("entityType") else ()) for a, n in names.items()}
+    for k, (a, n) in enumerate(names.items()):
+        note(a, n, f"pathQuery.nodes[{k}]")
     edges = {}
     for k, e in enumerate(q.get("edges", [])):
         if e.get("hops", 1) != 1:
             raise InvalidQuery([Error(f"pathQuery.edges[{k}].hops", "only single hops are supported")])
-        edges[f"e{k}"] = Edge(e.get("startNode"), e.get("endNode"), "OUTBOUND", e.get("entityType") or None, None, filters(e))
-    return validated(Query(nodes, edges, (Path("path0", tuple(edges)),), (), request.get("limit")))
+        edges[f"e{k}"] = Edge(e.get("startNode"), e.get("endNode"), "OUTBOUND", e.get("entityType") or None)
+        note(f"e{k}", e, f"pathQuery.edges[{k}]")
+    query = Query(nodes, edges, (Path("path0", tuple(edges)),), (), request.get("limit"), tests)
+    if errors := [*check(query), *errors]:
+        raise InvalidQuery(errors)
+    return query

@@ -41,6 +41,10 @@ def render(query: Query) -> Statement:
                 name = f"{kind}_{alias}_{suffix}"
                 params[name] = value
                 tests.append(f"{alias}.{key} = ${name}")
+            for k, (key, operator, value) in enumerate(query.tests.get(alias, ())):
+                name = f"{kind}_{alias}_cond{k}_value"
+                params[name] = value
+                tests.append(f"{alias}.{key} {'=' if operator == 'EQ' else operator} ${name}")
     lines = [pattern(p) for p in query.paths]
     if tests:
         lines.append("WHERE " + "\n  AND ".join(tests))

@@ -20,6 +20,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition,
 
 from ..functions.json_paths import as_list, get
 
+TIMEOUT = 30  # seconds for a page
 SCHEMA = "page int, position int, item string, error string"
 
 
@@ -70,7 +71,7 @@ class Config:
         if "://" not in url:
             url = f"file://{url}"
         body = None if self.method in ("GET", "HEAD") or not self.body else fill(self.body).encode()
-        with urllib.request.urlopen(urllib.request.Request(url, body, dict(self.headers), method=self.method)) as r:  # noqa: S310
+        with urllib.request.urlopen(urllib.request.Request(url, body, dict(self.headers), method=self.method), timeout=TIMEOUT) as r:  # noqa: S310
             return r.read().decode()
 
     def page(self, page: int) -> tuple[list[Any] | None, float | None, str | None]:

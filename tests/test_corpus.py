@@ -1,7 +1,9 @@
 import json
 import random
+import re
 from difflib import SequenceMatcher
 
+import pytest
 from loomgraph.functions import java_code, json_paths, text
 from loomgraph.operators import audits, corpus
 from loomgraph.sources import files, paged_json
@@ -126,14 +128,82 @@ def test_java_units(spark):
     assert [(r["kind"], r["name"]) for r in rows] == [("class", "Big"), ("method", "add"), ("method", "other")]
     add = rows[1]
     assert (add["start_line"], add["end_line"], add["line_count"], add["modifiers"], add["risk_level"]) == (7, 15, 9, ["public"], "high") and add["package"] == "a.b"
+    assert [r["uid"] for r in rows] == ["x/Big.java:Big:3", "x/Big.java:Big:add:7", "x/Big.java:Big:other:16"]
     assert java_code.generalised(java_code.tokens("int x = y + 1.5;")) == "int ID = ID + NUM ;"
-    copy = JAVA.replace("class Big", "class Two")
+    copy = JAVA.replace("class Big", "class Two").replace("int other(int q, int r)", "static final long renamed(int q, int r)")
     df = java_code.units(spark.createDataFrame([("x/Big.java", JAVA), ("y/Two.java", copy)], "path string, text string"))
-    exact, similar = audits.clone_groups(df, "method")
+    exact, similar = audits.clone_groups(df, "method")  # names and headers of methods don't count
     assert exact.count() == 2 and similar.count() == 0
     members = corpus.group_members(df.where("kind = 'method'"), exact, "hash_exact")
-    assert {r.risk for r in audits.advice(members).collect()} == {"high", "low"}
+    advised = audits.advice(members)
+    assert {r.risk for r in advised.collect()} == {"high", "low"}
     assert tuple(audits.clone_summary(df, exact).first()) == (2, 4, 2, 2, 4)
+    renamed = java_code.units(spark.createDataFrame([("x/Big.java", JAVA), ("y/Two.java", JAVA.replace("class Big", "class Two"))], "path string, text string"))
+    assert [r.n for r in audits.clone_groups(renamed, "class")[0].collect()] == [2]  # nor do names of classes
+    overview = {r.group_id: r for r in audits.clone_overview(members, advised).collect()}
+    assert sorted(r.locations for r in overview.values()) == [["x/Big.java:Big:add:7", "y/Two.java:Two:add:7"], ["x/Big.java:Big:other:16", "y/Two.java:Two:renamed:16"]]
+
+
+@pytest.mark.parametrize(
+    ("signature", "body", "level", "n"),
+    [
+        ("private int get(Key publicKey, int finalValue)", "{ return finalValue; }", "low", 1), ("void f()", "{ this.n++; }", "high", 1), ("void f()", "{ return this.n + 2; }", "medium", 1),
+        ("public void f() throws IOException", "{ }", "medium", 2), ("@Async void f()", "{ }", "high", 1), ("void f()", "{ synchronized (x) { } }", "high", 1),
+        ("void f()", "{ save(x); }", "medium", 1), ("void f()", "{ save(x); send(y); }", "high", 1),
+    ],
+)
+def test_risk(signature, body, level, n):
+    words = sorted(java_code.MODIFIERS & set(re.findall(r"[A-Za-z_]\w*", signature)))
+    got = java_code.risk(signature, body, words)
+    assert (got[0], len(got[1])) == (level, n)
+
+
+def test_modifiers_are_whole_words():
+    code = "class A {\n    private int get(Key publicKey, int finalValue) {\n" + "        int x = publicKey.size() + finalValue;\n" * 6 + "        return x;\n    }\n" + "    int a;\n" * 25 + "}\n"
+    method = [r for r in java_code.units_of("A.java", code) if r["kind"] == "method"][0]
+    assert method["modifiers"] == ["private"] and method["risk_level"] == "low"
+
+
+def test_java_sources_leave_tests_out(spark, tmp_path):
+    for name in ("src/main/A.java", "src/main/ATest.java", "src/main/BTests.java", "src/test/C.java", "build/D.java", "coverage/E.java", "src/main/Testing.java"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text("class X { }")
+    assert {r.path for r in files.java_files(spark, str(tmp_path)).collect()} == {"src/main/A.java", "coverage/E.java", "src/main/Testing.java"}
+    assert files.java_files(spark, str(tmp_path), with_tests=True).count() == 6
+
+
+def test_tagged_files(spark):
+    df = spark.createDataFrame([("a/pom.xml",), ("README.md",), (".github/workflows/x.yml",), ("src/a.kt",), ("Dockerfile",), ("a.bin",)], "path string")
+    rows = {r.path: r for r in files.tagged(df).withColumn("is_text", files.is_text_file(F.col("path"))).collect()}
+    assert rows["a/pom.xml"].is_manifest and rows["README.md"].is_convention and rows[".github/workflows/x.yml"].is_pipeline and rows["src/a.kt"].language == "Kotlin"
+    assert not rows["a.bin"].is_text and rows["Dockerfile"].is_text
+
+
+def test_path_audit(spark):
+    rows = [("k", "1", "m1", "compile", True, "m1 -> k"), ("k", "2", "m2", "compile", False, "m2 -> x -> k"), ("l", "1", "m1", "test", False, "m1 -> l")]
+    df = spark.createDataFrame(rows, "key string, value string, module string, scope string, direct boolean, path string")
+    got = {(r.kind, r.key): (r.occurrences, r.status) for r in audits.path_audit(df, df, df.where("key = 'l'")).collect()}
+    assert got == {("component", "k"): (2, "conflict"), ("effective", "k"): (2, "conflict"), ("hint", "l"): (1, "duplicate")}
+    assert [r.value for r in audits.first_wins(df, ["key"], ["value"]).orderBy("key").collect()] == ["1", "1"]
+    names = spark.createDataFrame([("k", "Kay")], "key string, name string")
+    assert {(r.key, r.name) for r in audits.named(df, "key", names, "name").collect()} == {("k", "Kay"), ("l", "l")}
+
+
+def test_budget_says_that_it_cut(spark):
+    units = spark.createDataFrame([(k, 10, str(k)) for k in range(5)], "uid int, size int, hash string")
+    assert tuple(corpus.budget_used(units, "uid", "size", "hash", 9).first()) == (10, True) and tuple(corpus.budget_used(units, "uid", "size", "hash", 10).first()) == (10, False)
+
+
+def test_deep_trees(spark):
+    rows = [("g", k, k, f"n{k}") for k in range(30)]
+    got = corpus.tree_parents(spark.createDataFrame(rows, "g string, line int, depth int, name string"), "g", "line", "depth", "name").orderBy("line").collect()
+    assert [r.parent for r in got] == [None, *[f"n{k}" for k in range(29)]] and got[-1].tree_path.count("->") == 29
+
+
+def test_reports_say_what_they_leave_out(spark):
+    df = spark.range(5)
+    assert audits.markdown_table(df, most=3).endswith("There are more than these 3 rows.\n") and "more than" not in audits.markdown_table(df, most=5)
+    assert len(json.loads(audits.json_report(df))) == 5
 
 
 POM = """<project xmlns="http://maven.apache.org/POM/4.0.0"><groupId>g</groupId><artifactId>{a}</artifactId><version>1</version>
@@ -213,7 +283,11 @@ def test_text_functions(spark):
     ident, rest = text.id_and_text(F.col("c"))
     r = df.select(text.slug(F.col("a")), text.plain_log_line(F.col("b")), ident, rest, text.is_test_file(F.col("d")), text.extension(F.col("d")), text.version_or_implicit(F.lit(" "))).first()
     assert tuple(r) == ("hello-world", "x", "T-1", "do :: it", True, ".java", "(managed/implicit)") and text.slug_of("!!").startswith("item-")
-    assert text.summary_of_errors("[INFO] a\n[ERROR] bad\nCaused by: z\n[ERROR] bad")[:2] == ["bad", "Caused by: z"]
+    log = "[INFO] a\n\x1b[1m[ERROR] bad\x1b[0m\n[INFO] BUILD FAILURE\n[ERROR] Operation not permitted: x\n[INFO] BUILD FAILURE"
+    assert text.summary_of_errors(log) == "BUILD FAILURE | Operation not permitted: x"
+    assert text.summary_of_errors("\n".join(f"[INFO] line {k}" for k in range(20)), 3) == "line 0 | line 1 | line 2" and text.summary_of_errors("") == ""
+    causes = "\n".join(c for c in text.CAUSES)
+    assert text.summary_of_errors(causes, 4).endswith(" | ... (truncated)")
 
 
 def test_build_tasks(spark):
