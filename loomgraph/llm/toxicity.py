@@ -39,6 +39,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -53,7 +54,7 @@ from .tables import HashIndex
 LONGEST, SHARED = 8, 4
 SAMPLE, SAMPLE_BYTES, CURVE = 3000, 16_384, 1000
 THRESHOLD = 0.3
-MEMORY = 300_000
+MEMORY = 500_000
 FOLDS, FEW = 5, 8
 #: Without a curve, SYMBOLS symbols of evidence stand against the prior.
 PRIOR, SYMBOLS = 0.1, 20
@@ -152,6 +153,12 @@ class Expressions:
         return more + np.where(total > 0, DISCOUNT * kinds / np.maximum(total, 1), 1) * base
 
 
+def told(odds: np.ndarray) -> np.ndarray:
+    """The bits by which probabilities (toxic, ordinary) speak for toxic."""
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return np.nan_to_num(np.log2(odds[:, 0]) - np.log2(odds[:, 1]), nan=0.0, posinf=1000.0, neginf=-1000.0)
+
+
 class Scorer:
     """What each text says: features(), a row a text, and its symbols."""
 
@@ -163,19 +170,24 @@ class Scorer:
     def clear(self) -> None:
         self.raw: dict[str, int] = {}  # a word as it stands: its number, -1 without a letter or the like
         self.number: dict[bytes, int] = {}
-        self.hash, self.size, self.odds = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty((0, 2))
+        self.hash, self.size, self.odds, self.gain = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty((0, 2)), np.empty(0)
 
     def learn(self, found: list[list[str]]) -> None:
         """Numbers for all words, and their probabilities."""
         if len(self.raw) > MEMORY:
             self.clear()
         new = []
-        for w in set().union(*found) - self.raw.keys():
+        raw, number = self.raw, self.number
+        for w in set().union(*found):
+            if w in raw:
+                continue
             plain = w.lower().encode().strip(_EDGE)
-            if plain and plain not in self.number:
-                self.number[plain] = len(self.number)
+            if not plain:
+                raw[w] = -1
+                continue
+            k = raw[w] = number.setdefault(plain, len(number))
+            if k == len(self.size) + len(new):
                 new.append(plain)
-            self.raw[w] = self.number[plain] if plain else -1
         for k in range(0, len(new), 50_000):
             part = new[k : k + 50_000]
             stream, at, sizes = stream_of(part)
@@ -183,16 +195,15 @@ class Scorer:
             h = word_hash(part)
             odds = self.expressions.of_words(self.words.lookup(h), np.exp2(-np.minimum(bits, 1000)))
             self.hash, self.size, self.odds = np.concatenate([self.hash, h]), np.concatenate([self.size, sizes]), np.concatenate([self.odds, odds])
+            self.gain = np.concatenate([self.gain, told(odds)])
 
     def __call__(self, texts: list[str]) -> np.ndarray:
         found = [t.split() for t in texts]
         self.learn(found)
-        seq = np.fromiter((self.raw[w] for f in found for w in f), np.int64, sum(map(len, found)))
+        seq = np.fromiter(map(self.raw.__getitem__, chain.from_iterable(found)), np.int64, sum(map(len, found)))
         doc = np.repeat(np.arange(len(texts)), [len(f) for f in found])
         doc, seq = doc[seq >= 0], seq[seq >= 0]
-        with np.errstate(divide="ignore"):
-            gain = np.log2(self.odds[:, 0]) - np.log2(self.odds[:, 1])
-        gain = np.nan_to_num(gain, nan=0.0, posinf=1000.0, neginf=-1000.0)
+        gain = self.gain
         at, word = np.divmod(np.unique(doc * (len(gain) + 1) + seq), len(gain) + 1)
         symbols = np.maximum(np.bincount(at, self.size[word], len(texts)), 1)
         mean = np.bincount(at, gain[word], len(texts)) / symbols
@@ -217,9 +228,7 @@ class Scorer:
         if not len(here):
             return none
         odds = self.expressions.of_pairs(row[here], self.first.lookup(self.hash[seq[here]]), self.odds[seq[here + 1]])
-        with np.errstate(divide="ignore"):
-            after = np.nan_to_num(np.log2(odds[:, 0]) - np.log2(odds[:, 1]), nan=0.0, posinf=1000.0, neginf=-1000.0)
-        return doc[here], gain[seq[here]] + after
+        return doc[here], gain[seq[here]] + told(odds)
 
 
 def evidence(x: np.ndarray) -> np.ndarray:
