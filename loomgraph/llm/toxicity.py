@@ -51,8 +51,8 @@ from .common import documents, frozen, positional, ship
 from .language import remainder
 from .tables import HashIndex
 
-LONGEST, SHARED = 8, 4
-SAMPLE, SAMPLE_BYTES, CURVE = 3000, 16_384, 1000
+LONGEST, SHARED = 6, 4
+SAMPLE, SAMPLE_BYTES, CURVE = 6000, 16_384, 1500
 THRESHOLD = 0.3
 MEMORY = 500_000
 FOLDS, FEW = 5, 8
@@ -218,7 +218,7 @@ class Scorer:
         return np.column_stack([mean, symbols, top])
 
     def known_pairs(self, doc: np.ndarray, seq: np.ndarray, gain: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The texts' distinct pairs that are counted, and what each says: first word, then second after it."""
+        """The texts' distinct pairs that are counted, and what each says a word: the first, then the second after it."""
         none = np.empty(0, np.int64), np.empty(0)
         if len(seq) < 2 or not len(self.expressions.pairs):
             return none
@@ -228,7 +228,7 @@ class Scorer:
         if not len(here):
             return none
         odds = self.expressions.of_pairs(row[here], self.first.lookup(self.hash[seq[here]]), self.odds[seq[here + 1]])
-        return doc[here], gain[seq[here]] + told(odds)
+        return doc[here], (gain[seq[here]] + told(odds)) / 2
 
 
 def evidence(x: np.ndarray) -> np.ndarray:
