@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import json
-import tempfile
+import uuid
 from pathlib import Path as FilePath
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import json_paths
+from ..functions.shared import shared_folder
 from ..operators import branches, corpus
 from ..operators.match import exists, match, optional_match, project
 from ..operators.property_graph import tables_graph
@@ -402,14 +403,24 @@ def near_dup_clusters(spark, sf_dir):
     return corpus.similar_groups(units, "uid", "text", "size", "hash", budget=None).select("component", F.array_join("members", ",").alias("members"), "n", "similarity")
 
 
+def _pages_folder(spark: SparkSession) -> FilePath:
+    """A new folder that the driver and all executors see: pages are read as files."""
+    root = shared_folder(spark)
+    if "://" in root and not root.startswith("file://"):
+        raise ValueError(f"pages as files need a mounted folder, not {root}")
+    folder = FilePath(root.removeprefix("file://").removeprefix("file:")) / f"pages-{uuid.uuid4().hex}"
+    folder.mkdir(parents=True)
+    return folder
+
+
 @query("""
-SELECT (id // 40 + 1)::INT AS page, (id % 40)::INT AS position, id::BIGINT AS region FROM (SELECT row_number() OVER (ORDER BY n_nationkey) - 1 AS id FROM nation)""")
+SELECT (id // 10 + 1)::INT AS page, (id % 10)::INT AS position, id::BIGINT AS region FROM (SELECT row_number() OVER (ORDER BY n_nationkey) - 1 AS id FROM nation)""")
 def paged_collect(spark, sf_dir):
     from ..sources import paged_json
 
-    folder = FilePath(tempfile.mkdtemp(prefix="loomgraph-pages-"))
+    folder = _pages_folder(spark)
     ids = [r[0] for r in table(spark, sf_dir, "nation").select("n_nationkey").orderBy("n_nationkey").collect()]  # 25 rows at any size
-    pages = [ids[k : k + 40] for k in range(0, len(ids), 40)]
+    pages = [ids[k : k + 10] for k in range(0, len(ids), 10)]
     for k, page in enumerate(pages, 1):
         (folder / f"page-{k}.json").write_text(json.dumps({"data": {"list": [{"id": i} for i in page], "totalPages": len(pages)}}))
     paged_json.register(spark)
@@ -498,5 +509,3 @@ def incremental_reuse(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "n_chars", F.lit(0).alias("mtime"))
     before = docs.select("doc_id", "n_chars", F.expr("CAST(n_chars % 2 AS INT)").alias("mtime"))
     return corpus.fingerprint_join(docs, before, "doc_id", ["n_chars", "mtime"]).select("doc_id", "fresh")
-
-
