@@ -52,7 +52,7 @@ from .language import remainder
 from .tables import HashIndex
 
 LONGEST, SHARED = 6, 4
-SAMPLE, SAMPLE_BYTES, CURVE = 6000, 16_384, 1500
+SAMPLE, SAMPLE_BYTES, CURVE = 5000, 16_384, 1500
 THRESHOLD = 0.3
 MEMORY = 500_000
 FOLDS, FEW = 5, 8
@@ -304,7 +304,7 @@ def first_by_hash(ids: DataFrame, n: int) -> DataFrame:
 
 def parted(counts: DataFrame, keys: list[str]) -> DataFrame:
     """keys and the counts of each class and part, of what is counted at least twice in all."""
-    of = lambda y, k: F.sum(F.when((F.col("part") == k) & (F.col("y") == y), F.col("n")).otherwise(0)).alias(f"y{y}p{k}")
+    of = lambda y, k: F.sum(F.when((F.col("part") == k) & (F.col("y") == y), F.col("n")).otherwise(0)).cast("int").alias(f"y{y}p{k}")
     return counts.groupBy(*keys).agg(F.sum("n").alias("n"), *[of(y, k) for y in (1, 0) for k in range(FOLDS)]).where("n > 1").drop("n")
 
 
@@ -354,19 +354,20 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_co
     sample = rows.select("text", "y", "part")
     got = parted(sample.mapInArrow(count_bytes, "y int, part int, g long, n long"), ["g"]).toArrow()
     g, counts = got.column("g").to_numpy().view(np.uint64), by_part(got)
+    del got  # the driver holds each table once
     if not counts.any((0, 2)).all():
         return None, share
-    told = parted(sample.mapInArrow(count_words, "y int, part int, pair boolean, a long, b long, n long"), ["pair", "a", "b"]).toArrow()
-    pair, told_n = told.column("pair").to_numpy(zero_copy_only=False), by_part(told)
-    a, b = (told.column(k).to_numpy().view(np.uint64) for k in ("a", "b"))
+    heard = parted(sample.mapInArrow(count_words, "y int, part int, pair boolean, a long, b long, n long"), ["pair", "a", "b"]).toArrow()
+    pair, heard_n = heard.column("pair").to_numpy(zero_copy_only=False), by_part(heard)
+    a, b = (heard.column(k).to_numpy().view(np.uint64) for k in ("a", "b"))
+    del heard
     shared = shared_counts(docs, text_col)
     sc = docs.sparkSession.sparkContext
 
     def models(but: int | None):
         """Broadcast models of all parts but one."""
-        parts = [k for k in range(FOLDS) if k != but]
-        grams = counts[:, :, parts].sum(2)
-        some, kept = grams.sum(1) > 1, told_n[:, :, parts].sum(2)
+        grams, kept = (x.sum(2) - (0 if but is None else x[:, :, but]) for x in (counts, heard_n))
+        some = grams.sum(1) > 1
         some_n = kept.sum(1) > 1  # counted without the part that is left out, as for a new document
         word, two = some_n & ~pair, some_n & pair
         expressions = Expressions(b[word], kept[word], a[two], b[two], kept[two])
